@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.llm import langid, mixing, packing, repetition
+from matchlens.llm import langid, mixing, packing, repetition, substring
 from matchlens.llm.common import table
 
 
@@ -27,13 +27,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sizes(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op8_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op8_quality_rules, op9_substring_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
