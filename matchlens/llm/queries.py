@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.llm import jaccard, langid, mixing, packing, repetition, substring
+from matchlens.llm import fingerprint, jaccard, langid, mixing, packing, repetition, substring
 from matchlens.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents").select("doc_id", "text"), jaccard.WORDS, jaccard.NUMERATOR, jaccard.DENOMINATOR)
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -42,7 +46,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op6_ngram_jaccard, op8_quality_rules, op9_substring_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op6_ngram_jaccard, op7_document_fingerprints, op8_quality_rules, op9_substring_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
