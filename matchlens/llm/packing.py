@@ -10,8 +10,11 @@ ranks within a length.  Pieces then find their sequence by their rank.
 from __future__ import annotations
 
 import bisect
+import functools
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,58 +26,95 @@ from matchlens.llm.common import as_bytes, slices, stored
 #: Pieces ranked together in one window partition.
 RANK_ROWS = 100_000
 #: Distinct pretokens a worker remembers, and the longest of them in characters.
-CACHE_WORDS, CACHE_CHARS = 200_000, 48
+CACHE_WORDS, CACHE_CHARS = 500_000, 48
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary of a byte-level BPE file by bytes, if its ids are in merge order."""
+    model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+    shown = [b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    merges = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+    if any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)) or len(model["vocab"]) != 256 + len(merges):
+        return None
+    return {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items()}
+
+
 class Encoder:
     """Ids of whole texts by a byte-level BPE file, as little-endian 32-bit bytes.
 
-    Texts made of code points below U+0500 without the controls U+001C-U+001F are cut by
-    the pretoken pattern here, so that a repeated pretoken is encoded once; any other
-    text, and one that holds a special token's string, goes to the tokenizer whole.
+    Before a space that follows a non-space a new pretoken always begins, and a line feed
+    between non-spaces is one; so texts whose spaces are single blanks or line feeds are
+    cut there, and the ids of a word met again come from memory.  Other texts are cut by
+    the pretoken pattern.  Those with code points from U+0500 on, controls, or a special
+    token's string go to the tokenizer whole.
     """
 
     def __init__(self, path: str, pattern: str):
         import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._special = [t.content.encode() for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._cut = regex.compile(pattern).findall
-        encode = self._whole
-
-        class Known(dict):
-            def __missing__(self, word: str) -> bytes:
-                ids = encode(word)
-                if len(word) <= CACHE_CHARS:
-                    if len(self) >= CACHE_WORDS:
-                        self.clear()
-                    self[word] = ids
-                return ids
-
-        self._known = Known()
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ranks = _byte_ranks(path)
+        if ranks is None:
+            encode = lambda text: self._tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+        def remembering(shape: Callable[[str], str]) -> Callable[[list[str]], bytes]:
+            """Ids of a list of words, each given its *shape* first."""
+            known: dict[str, bytes] = {}
+            get = known.get
+
+            def ids_of(words: list[str]) -> bytes:
+                found = list(map(get, words))
+                if None in found:
+                    for i, word in enumerate(words):
+                        if found[i] is None:
+                            found[i] = get(word) or np.asarray(encode(shape(word)), "<u4").tobytes()
+                            if len(word) <= CACHE_CHARS:
+                                if len(known) >= CACHE_WORDS:
+                                    known.clear()
+                                known[word] = found[i]
+                return b"".join(found)
+
+            return ids_of
+
+        # A word of a cut at spaces had a blank before it, unless it is a line feed or marked.
+        self._pretokens = remembering(lambda w: w)
+        self._words = remembering(lambda w: w if w == "\n" else w[1:] if w[:1] == "\x02" else " " + w)
 
     def __call__(self, raw: bytes) -> bytes:
         text = raw.decode("utf-8", "replace")
         values = np.frombuffer(raw, np.uint8)
-        odd = len(values) and (values.max() >= 0xD4 or bool(((values >= 0x1C) & (values <= 0x1F)).any()))
-        if odd or any(s in raw for s in self._special):
-            return self._whole(text)
-        return b"".join(map(self._known.__getitem__, self._cut(text)))
+        kinds = np.bincount(values, minlength=256)
+        if kinds[0xD4:].any() or kinds[:9].any() or kinds[0x0E:0x20].any() or any(s in raw for s in self._special):
+            return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        # U+0085, U+00A0 and the like are spaces too; they begin with C2 here.
+        blank = (values == 32) | (values == 10)
+        if kinds[[9, 11, 12, 13]].any() or kinds[0xC2] or (blank[1:] & blank[:-1]).any():
+            return self._pretokens(self._cut(text))
+        return self._words(("\x02" + text.replace("\n", " \n \x02")).split(" "))
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(tokenizer: str | None) -> Encoder:
+    """One for each Python worker, which keeps what it has encoded from task to task."""
+    import public_tokenizers
+
+    return Encoder(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def pieces(docs: DataFrame, tokenizer: str | None, capacity: int, end_id: int) -> DataFrame:
     """One row per piece of every row of *docs*; only the first piece may be shorter."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-
-        encode = Encoder(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+        encode = encoder(tokenizer)
         end = np.asarray([end_id], "<u4").tobytes()
         for rows, data, offsets in slices(batches):
             out: list[tuple] = []
