@@ -11,10 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.llm import fingerprint, jaccard, langid, mixing, packing, repetition, substring
+from matchlens.llm import fingerprint, jaccard, langid, mixing, packing, repetition, scoring, substring, toolcalls, urlfilter
 from matchlens.llm.common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -23,6 +27,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.link(*toolcalls.from_conversations(table(spark, sf_dir, "conversations")))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(*urlfilter.page_lists(table(spark, sf_dir, "pages").select("page_id", "url")))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents").select("doc_id", "text"), jaccard.WORDS, jaccard.NUMERATOR, jaccard.DENOMINATOR)
 
@@ -46,8 +58,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op6_ngram_jaccard, op7_document_fingerprints, op8_quality_rules, op9_substring_dedup, op10_mixing)}
+    every = (
+        op1_lm_scoring, op2_language_id, op3_best_fit_packing, op4_chat_formatting, op5_url_filters, op6_ngram_jaccard,
+        op7_document_fingerprints, op8_quality_rules, op9_substring_dedup, op10_mixing,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the others, tests hold the query against a brute-force version."""
+    return {"op4_chat_formatting": toolcalls.SQL, "op5_url_filters": urlfilter.SQL}
