@@ -21,9 +21,13 @@ from matchlens.plans.ledger import latest, trend
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Added before rounding, here and in the SQL, so that a last bit does not decide a tie.
+NUDGE = 1e-9
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six places: sums differ in their last bits between engines."""
-    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(F.round(F.col(c) + NUDGE, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,9 +167,9 @@ def _sort_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cohort as one checkpoint, in the order of their names."""
     o = O.summarize_all(eligible(spark, sf_dir), ["COHORT"])
-    return o.select(
-        F.col("GROUP").alias("checkpoint"), F.col("PAIR_TOTAL").alias("pair_total"), F.col("N_MARKETS").alias("markets"), F.round("PAIR_WEIGHTED_DRET", 6).alias("dret"), F.round("DRET_POS_MARKET_SHARE", 6).alias("positive_market_share"),
-        F.round("MEDIAN_MARKET_DRET", 6).alias("median_market_dret"), F.col("CLASSIFICATION").alias("classification"), labels.verdict(F.col("CLASSIFICATION")).alias("research_verdict"),
+    return rounded(o).select(
+        F.col("GROUP").alias("checkpoint"), F.col("PAIR_TOTAL").alias("pair_total"), F.col("N_MARKETS").alias("markets"), F.col("PAIR_WEIGHTED_DRET").alias("dret"), F.col("DRET_POS_MARKET_SHARE").alias("positive_market_share"),
+        F.col("MEDIAN_MARKET_DRET").alias("median_market_dret"), F.col("CLASSIFICATION").alias("classification"), labels.verdict(F.col("CLASSIFICATION")).alias("research_verdict"),
     )
 
 
@@ -248,14 +252,14 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "field_presence": (_select(parsed, "record_index", "field_present['ERET'] AS eret", "field_present['PAIR'] AS pair", "field_raw['CELL'] AS raw_cell"), _BASE + "SELECT i AS record_index, i % 301 <> 0 OR i % 7 = 0 AS eret, TRUE AS pair, cell AS raw_cell FROM rec"),
     "dedupe_keep_max": (_select(records, "record_index", "pair", where="retained"), _BASE + "SELECT i AS record_index, pair FROM ded WHERE retained"),
     "dedupe_conflicts": (
-        _select(records, "record_index", "is_duplicate_dropped", "is_snapshot_conflict", "filter(warnings, x -> x like 'snapshot%')[0] AS message", where="is_duplicate_dropped or is_snapshot_conflict"),
+        _select(records, "record_index", "is_duplicate_dropped", "is_snapshot_conflict", "get(filter(warnings, x -> x like 'snapshot%'), 0) AS message", where="is_duplicate_dropped or is_snapshot_conflict"),
         _BASE + """SELECT i AS record_index, is_duplicate_dropped, is_snapshot_conflict, CASE WHEN pair < most THEN 'snapshot duplicate: PAIR=' || pair || ' superseded by a later/larger snapshot with PAIR=' || most || ' for the same COHORT/SYM/CLASS/CELL'
           WHEN is_snapshot_conflict THEN 'snapshot conflict: ' || winners || ' records share PAIR=' || most || ' for the same COHORT/SYM/CLASS/CELL with differing metrics; retained the last encountered (record_index=' || chosen || ')' END AS message
           FROM ded WHERE is_duplicate_dropped OR is_snapshot_conflict""",
     ),
     "dedupe_before_validate": (_select(records, "record_index", "sym", "cell", "cohort", where="retained and not valid"), _BASE + "SELECT i AS record_index, sym, cell, cohort FROM val WHERE retained AND NOT valid"),
     "validate_arith": (_select(records, "record_index", "ret_delta_ok", "mfe_delta_ok", "mae_delta_ok"), _BASE + "SELECT i AS record_index, ret_delta_ok, mfe_delta_ok, mae_delta_ok FROM val"),
-    "validate_range": (_select(records, "record_index", "ehit", "filter(warnings, x -> x like '%outside%')[0] AS message", where="ehit > 100 and parse_ok"), _BASE + "SELECT i AS record_index, round(ehit, 6) AS ehit, 'EHIT=150.0 outside expected range [0,100]' AS message FROM val WHERE ehit > 100 AND parse_ok"),
+    "validate_range": (_select(records, "record_index", "ehit", "get(filter(warnings, x -> x like '%outside%'), 0) AS message", where="ehit > 100 and parse_ok"), _BASE + "SELECT i AS record_index, round(ehit, 6) AS ehit, 'EHIT=150.0 outside expected range [0,100]' AS message FROM val WHERE ehit > 100 AND parse_ok"),
     "validate_missing": (_select(records, "record_index", "valid", where="exists(warnings, x -> x = 'ERET missing for a PAIR>0 record')"), _BASE + "SELECT i AS record_index, FALSE AS valid FROM val WHERE i % 301 = 0 AND pair > 0 AND parse_ok"),
     "derive_delta_signs": (_select(records, "record_index", "delta_hit", "dret_sign", "dmfe_sign", "dmae_sign"), _BASE + f"SELECT i AS record_index, {_r('delta_hit')}, dret_sign, dmfe_sign, dmae_sign FROM val"),
     "eligible_records": (_select(eligible, *S.ELIGIBLE_COLUMNS), _BASE + "SELECT " + ", ".join(_r(c) if c in S.WEIGHTED else c for c in S.ELIGIBLE_COLUMNS) + " FROM elig"),
@@ -304,4 +308,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in CATALOGUE.items() if sql}
+    return {name: sql.replace(", 6) AS", f" + {NUDGE}, 6) AS") for name, (_, sql) in CATALOGUE.items() if sql}
