@@ -17,6 +17,7 @@ from matchlens import schema as S
 from matchlens.functions import labels
 from matchlens.plans import adapters
 from matchlens.plans.ledger import latest, trend
+from matchlens.sources.shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,7 +36,8 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed(spark, sf_dir).transform(O.dedupe_snapshots).transform(O.validate).transform(O.derive)
+    # Dedupe reads the records three times.
+    return written(parsed(spark, sf_dir)).transform(O.dedupe_snapshots).transform(O.validate).transform(O.derive)
 
 
 def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
