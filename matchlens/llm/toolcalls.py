@@ -108,24 +108,55 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     )
 
 
-def from_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _turns(conversations: DataFrame) -> DataFrame:
+    return conversations.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def from_conversations(conversations: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls, results and schemas from the conversations table, whose turns are plain text:
     every assistant turn is a call that depends on the one two turns before, and every
-    user turn after the first the result of the turn before it."""
-    c = conversations.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    user turn after the first the result of the turn before it.
+
+    A call's query is its turn's first 20 characters, as in SQL, or with *whole* all of it."""
+    c = _turns(conversations)
 
     def at(back: int) -> Column:
         return F.concat(F.lit("call-"), (F.col("turn") - back).cast("string"))
 
     name = F.element_at(F.array(*map(F.lit, ("search", "lookup", "note"))), (F.col("turn") % 3 + 1).cast("int"))
+    query = F.col("text") if whole else F.substring("text", 1, 20)
     limit = F.when(F.length("text") % 7 == 0, F.lit('"many"')).otherwise((F.length("text") % 50).cast("string"))
-    arguments = F.concat(F.lit('{ "query" : '), _quoted(F.substring("text", 1, 20)), F.when(F.length("text") % 5 == 0, "").otherwise(F.concat(F.lit(', "limit":'), limit)), F.when(F.length("text") % 11 == 0, F.lit(', "debug":true')).otherwise(""), F.lit(" }"))
-    calls = c.where("role = 'assistant'").select("conv_id", "turn", at(0).alias("call_id"), name.alias("name"), arguments.alias("arguments"), F.array(at(2)).alias("depends_on"))
+    arguments = F.concat(F.lit('{ "query" : '), _quoted(query), F.when(F.length("text") % 5 == 0, "").otherwise(F.concat(F.lit(', "limit":'), limit)), F.when(F.length("text") % 11 == 0, F.lit(', "debug":true')).otherwise(""), F.lit(" }"))
+    calls = c.where("role = 'assistant'").select("conv_id", "turn", at(0).alias("call_id"), name.alias("name"), arguments.alias("arguments"), F.array(at(2)).alias("depends_on"), *(["text"] if whole else []))
     results = c.where("role = 'user' and turn > 0").select("conv_id", at(1).alias("call_id"), F.col("text").alias("content"))
     rows = [(t, f, k, r) for t in ("search", "lookup", "note") for f, k, r in (("query", "string", True), ("limit", "integer", t == "search"))]
     return calls, results, conversations.sparkSession.createDataFrame(rows, "name string, field string, type string, required boolean")
 
 
+def format_whole(conversations: DataFrame) -> DataFrame:
+    """link() over the conversations table such that every row's whole text is in some json.
+
+    Rows that are neither call nor result (system turns, opening user turns, other roles)
+    and those that link() leaves out as repeated are rows of status message, whose json has
+    content and role; their call_id is null."""
+    calls, results, schemas = from_conversations(conversations, whole=True)
+    key = ["conv_id", "turn", "role"]
+    c = _turns(conversations).withColumn("_linked", F.coalesce((F.col("role") == "assistant") | ((F.col("role") == "user") & (F.col("turn") > 0)), F.lit(False)))
+    # As in link(), of repeated calls the smallest arguments count and of results the smallest content.
+    named = calls.where("conv_id is not null and call_id is not null").select("conv_id", "turn", F.lit("assistant").alias("role"), F.col("arguments").alias("_order"), "text")
+    answers = c.where("_linked and role = 'user' and conv_id is not null").select(*key, F.col("text").alias("_order"), "text")
+    each = named.unionByName(answers).groupBy(*key, "_order", "text").agg(F.count("*").alias("_n"))
+    first = each.groupBy(*key).agg(F.min("_order").alias("_first"), F.sum("_n").alias("_every")).where("_every > 1")
+    copies = F.col("_n") - (F.col("_order") == F.col("_first")).cast("int")
+    again = each.join(first, key).withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*key, "text")
+    role = F.when(F.col("role").isNotNull(), _quoted(F.coalesce("role", F.lit("")))).otherwise("null")
+    json = F.concat(F.lit('{"content":'), _quoted(F.col("text")), F.lit(',"role":'), role, F.lit("}"))
+    messages = c.where("not _linked").select(*key, "text").unionByName(again)
+    return link(calls, results, schemas).unionByName(
+        messages.select("conv_id", F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("int").alias("level"), "turn", F.lit("message").alias("status"), F.lit(False).alias("args_valid"), F.lit("").alias("errors"), json.alias("json"))
+    )
+
+
 SQL = """
 WITH RECURSIVE c AS (SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS BIGINT) AS turn, role, coalesce(text, '') AS text FROM conversations),
 call AS (SELECT *, 'call-' || turn AS call_id, CASE turn % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'note' END AS name, length(text) AS n FROM c WHERE role = 'assistant'),

@@ -327,6 +327,17 @@ def test_tool_calls(spark, tmp_path):
     assert len(got) == 9
 
 
+def test_whole_conversations(spark, tmp_path):
+    long = "An answer of more than twenty characters, \"quoted\"\n\u00e9 "
+    rows = [(1, 0, "system", "Rules " * 9), (1, 0, "user", "Opening " * 9), (1, 1, "assistant", long * 3), (1, 2, "user", "reply"), (1, 3, "assistant", long + "b"), (1, 3, "assistant", long + "a"), (1, 3, "assistant", long + "a"),
+            (1, 4, "user", "second"), (1, 4, "user", "other"), (2, 5, "user", "orphan"), (2, 6, "tool", "odd role"), (2, None, "user", "no turn"), (None, 1, "assistant", long), (None, 1, None, "no role"), (3, 1, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = [(r["status"], json.loads(r["json"])) for r in queries.queries()["op4_chat_formatting_whole"](spark, str(tmp_path)).collect()]
+    found = collections.Counter(x for _, j in out for x in ((j.get("arguments") or {}).get("query"), j.get("result"), j.get("content")) if x is not None)
+    assert found == collections.Counter(t or "" for *_, t in rows)
+    assert collections.Counter(j["role"] for status, j in out if status == "message") == {"system": 1, "user": 3, "assistant": 2, "tool": 1, None: 1}
+
+
 def test_url_intervals(spark):
     day = "2024-01-{:02d}".format
     entries = [("l", "block", "domain", "x.org", True, 2), ("l", "block", "domain", "x.org", True, 3), ("l", "block", "domain", "x.org", False, 5), ("l", "block", "domain", "x.org", True, 9), ("t", "allow", "host", "ok.x.org", True, 4), ("u", "block", "url", "ok.x.org/a", True, 4), ("l", "block", "domain", None, True, 1)]
