@@ -1,77 +1,99 @@
-"""Order MinHash fingerprints of texts (operator 7), in DataFrame functions only.
+"""Order MinHash fingerprints of texts (operator 7).
 
 A text's k-mers are its runs of ``K`` words, numbered by occurrence, so that repeats
-count.  Each numbered k-mer is hashed once; the hash's high bits deal it to one of
-``BINS`` bins (one-permutation hashing), and the two least hashes of a bin are its
-minimal k-mers.  They are put back into the order of the text and hashed as a tuple:
-the bin's signature agrees between two texts only if they share the minimal k-mers and
-their order, which follows edit distance where plain MinHash follows sets.
-(Marcais et al., "Locality-sensitive hashing for the edit distance", 2019.)
+count.  For each of ``SEEDS`` seeds every numbered k-mer of the text is hashed, and the two
+least are the seed's minimal k-mers.  They are put back into the order of the text and
+hashed as a tuple: the seed's signature agrees between two texts only if they share the
+minimal k-mers and their order, which follows edit distance where plain MinHash follows
+sets.  (Marcais et al., "Locality-sensitive hashing for the edit distance", 2019.)
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from matchlens.llm.common import find_words, hash_words, mix, rank_within, slices
 
 K = 3
-#: Bins, a power of two, and the bits of a numbered k-mer's hash that name its bin.
-BINS, BIN_BITS = 64, 6
-#: Low bits of a packed value hold the position, the rest the hash.
-POSITION = (1 << 24) - 1
+#: Selections of two k-mers, each with a hash of its own.
+SEEDS = 64
+#: Bits of a signature.
+SIGNATURE = (1 << 24) - 1
+#: Bytes of text whose k-mers are hashed together.
+PIECE_BYTES = 1 << 18
 #: Documents that are put in order together, and the most such buckets.
 BUCKET_ROWS, MOST_BUCKETS = 2_000, 20_000
 
-_SPACES = " \t\n\x0b\x0c\r"
 _LEAST = -(1 << 63)
-
-
-def _upto(n: Column) -> Column:
-    """0 to n - 1."""
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-
-def _with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """*df* with the column *name*: (bin, signature) of each bin in use, packed into longs."""
-    words, packed, starts, numbered = (f"_{name}_{x}" for x in ("words", "packed", "starts", "numbered"))
-
-    def shingle(i: Column) -> Column:
-        h = F.xxhash64(*(F.get(F.col(words), i + j) for j in range(K)))
-        return h.bitwiseAND(F.lit(~POSITION)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(POSITION)))
-
-    def differs(at: str, shift: int):
-        return lambda i: (i == 0) | (F.shiftright(F.get(F.col(at), i), shift) != F.shiftright(F.get(F.col(at), i - 1), shift))
-
-    trimmed = F.btrim(F.col(text), F.lit(_SPACES))
-    df = df.withColumn(words, F.when(F.length(trimmed) > 0, F.split(trimmed, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>")))
-    count = F.when(F.size(words) > 0, F.greatest(F.size(words) - (K - 1), F.lit(1))).otherwise(0)
-    df = df.withColumn(packed, F.sort_array(F.transform(_upto(count), shingle)))
-    # Equal k-mers are neighbours now, in the order of the text: runs number them.
-    df = df.withColumn(starts, F.filter(_upto(F.size(packed)), differs(packed, 24)))
-    runs = F.transform(F.col(starts), lambda s, i: F.sequence(F.lit(1), F.coalesce(F.get(F.col(starts), i + 1), F.size(packed)) - s))
-    df = df.withColumn(numbered, F.when(F.size(starts) < F.size(packed), F.flatten(runs)))
-    high = ((1 << 63) - 1) & ~POSITION
-
-    def number(x: Column, i: Column) -> Column:
-        # Named twice, so that the optimizer keeps it a column: inlined here, it would be computed for every element.
-        nth = F.when(F.col(numbered).isNotNull(), F.get(F.col(numbered), i)).otherwise(1)
-        h = F.xxhash64(F.shiftright(x, 24), nth)
-        return h.bitwiseAND(F.lit(high)).bitwiseOR(x.bitwiseAND(F.lit(POSITION)))
-
-    df = df.withColumn(packed, F.sort_array(F.transform(F.col(packed), number)))
-    shift = 63 - BIN_BITS
-    df = df.withColumn(starts, F.filter(_upto(F.size(packed)), differs(packed, shift)))
-
-    def signature(i: Column) -> Column:
-        a, b = F.get(F.col(packed), i), F.get(F.col(packed), i + 1)
-        own = F.shiftright(a, shift)
-        first, second = F.shiftright(a, 24), F.shiftright(b, 24)
-        pair = F.when(b.isNull() | (F.shiftright(b, shift) != own), F.xxhash64(first)).when(
-            a.bitwiseAND(F.lit(POSITION)) < b.bitwiseAND(F.lit(POSITION)), F.xxhash64(first, second)
-        ).otherwise(F.xxhash64(second, first))
-        return F.shiftleft(own, 24).bitwiseOR(pair.bitwiseAND(F.lit(POSITION)))
-
-    return df.withColumn(name, F.transform(F.col(starts), signature)).drop(words, packed, starts, numbered)
+_GREATEST = np.uint64((1 << 64) - 1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_SEED = mix(np.arange(1, SEEDS + 1, dtype=np.uint64) * _STEP)
+
+
+def numbered_kmers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the numbered k-mers of whole documents in the order of the text, and how many each has.
+
+    A text of fewer than ``K`` words is one k-mer."""
+    starts, ends, of = find_words(data, offsets)
+    h, words = hash_words(data, starts, ends), np.diff(of)
+    count = np.where(words >= K, words - (K - 1), np.minimum(words, 1))
+    heads = np.concatenate([[0], np.cumsum(count)])
+    doc = rank_within(heads, int(heads[-1]))
+    position = np.arange(len(doc))
+    at = of[doc] + position - heads[doc]
+    kmers = np.zeros(len(doc), np.uint64)
+    for j in range(K):
+        word = np.where(at + j < of[doc + 1], h[np.minimum(at + j, len(h) - 1)] if len(h) else kmers, np.uint64(0))
+        kmers = mix(kmers + word + np.uint64((j + 1) * int(_STEP) & int(_GREATEST)))
+    order = np.lexsort((kmers, doc))
+    new = np.ones(len(doc), bool)
+    new[1:] = (kmers[order][1:] != kmers[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    nth = np.empty(len(doc), np.uint64)
+    nth[order] = position - np.maximum.accumulate(np.where(new, position, 0))
+    return mix(kmers + nth * _STEP), count
+
+
+def signatures(data: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    """(seed, signature) of each seed, packed into longs, for each document; none without words."""
+    v, count = numbered_kmers(data, offsets)
+    used = np.flatnonzero(count)
+    size = count[used]
+    heads = np.cumsum(size) - size
+    out = np.empty((len(used), SEEDS), np.int64)
+
+    def least(g: np.ndarray) -> np.ndarray:
+        found = np.flatnonzero(g == np.repeat(np.minimum.reduceat(g, heads), size))
+        return found[np.searchsorted(found, heads)]
+
+    for k in range(SEEDS if len(used) else 0):
+        g = mix(v ^ _SEED[k])
+        a = least(g)
+        g[a] = _GREATEST
+        # A text of one k-mer has that one twice.
+        b = least(g)
+        pair = mix(v[np.minimum(a, b)] + mix(v[np.maximum(a, b)] + _STEP))
+        out[:, k] = (pair & np.uint64(SIGNATURE)).astype(np.int64) | (k << 24)
+    ends = np.concatenate([[0], np.cumsum(np.where(count > 0, SEEDS, 0))])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out.reshape(-1)))
+
+
+def _with_fingerprints(df: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """*df* with an array column for each name of *texts*, from the column of text (not null) it maps to."""
+    schema = T.StructType([*df.schema.fields, *(T.StructField(name, T.ArrayType(T.LongType())) for name in texts)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = [pa.concat_arrays([signatures(data, offsets) for _, data, offsets in slices(iter([batch]), text, PIECE_BYTES)]) for text in texts.values()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *found], schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def fingerprints(df: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
@@ -79,17 +101,17 @@ def fingerprints(df: DataFrame, text: str = "text", name: str = "fingerprint") -
 
     Texts without words have an empty fingerprint; equal texts have equal ones."""
     own = f"_{name}_text"
-    return _with_fingerprint(df.withColumn(own, F.coalesce(F.col(text), F.lit(""))), own, name).drop(own)
+    return _with_fingerprints(df.withColumn(own, F.coalesce(F.col(text), F.lit(""))), {name: own}).drop(own)
 
 
 def likeness(a: str, b: str) -> Column:
-    """Part of the bins used by either fingerprint whose signatures agree (1 if both are empty)."""
+    """Part of the seeds used by either fingerprint whose signatures agree (1 if both are empty)."""
     used = F.size(F.array_union(*(F.transform(F.col(x), lambda v: F.shiftright(v, 24)) for x in (a, b))))
     return F.when(used == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.col(a), F.col(b))) / used)
 
 
 def as_text(name: str) -> Column:
-    """Eight hexadecimal digits for each bin in use: two name it, six are its signature."""
+    """Eight hexadecimal digits for each seed: two name it, six are its signature."""
     return F.array_join(F.transform(F.col(name), lambda v: F.lpad(F.hex(v), 8, "0")), "")
 
 
@@ -143,12 +165,12 @@ def edit_report(docs: DataFrame) -> DataFrame:
     edited_fingerprint, near_edited and near_next (likenesses, 0 to 1).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = with_next(_with_fingerprint(docs, "text", "_own"), ["text", "_own"])
+    rows = with_next(docs, ["text"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("_next.text"), F.lit(1), half))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("_text"), "_own", F.col("_next._own").alias("_other"))
-    rows = _with_fingerprint(rows, "_text", "_edited")
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), "text", edited.alias("_text"), F.col("_next.text").alias("_other_text"))
+    rows = _with_fingerprints(rows, {"_own": "text", "_edited": "_text", "_other": "_other_text"})
     return rows.select(
-        "doc_id", "n_chars", F.sha2("_text", 256).alias("edited_sha256"), as_text("_own").alias("fingerprint"), as_text("_edited").alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", as_text("_own").alias("fingerprint"), as_text("_edited").alias("edited_fingerprint"),
         likeness("_own", "_edited").alias("near_edited"), likeness("_own", "_other").alias("near_next"),
     )

@@ -303,6 +303,34 @@ def test_fingerprints(docs, empty, monkeypatch):
     assert fingerprint.edit_report(empty).count() == 0 and fingerprint.edit_report(docs).count() == len(corpus())
 
 
+def test_signatures_are_the_two_least_of_all(spark):
+    """Every seed selects from all numbered k-mers of the text, and a short text's signatures keep the order."""
+    texts = ["", "one", "one two", "a b c", " ".join("a b c d".split() * 5), " ".join(f"w{i * i % 31}" for i in range(40)), "x y z x y z"]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    v, count = fingerprint.numbered_kmers(data, offsets)
+    got, at, names = fingerprint.signatures(data, offsets).to_pylist(), 0, {}
+    for text, n, found in zip(texts, count.tolist(), got, strict=True):
+        w = words_of(text)
+        kmers = [tuple(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [tuple(w)] if w else []
+        own = v[at : at + n]
+        at += n
+        numbered = [(x, kmers[:i].count(x)) for i, x in enumerate(kmers)]
+        assert len(numbered) == n and all(names.setdefault(x, int(h)) == int(h) for x, h in zip(numbered, own, strict=True))
+        want = []
+        for k in range(64 if n else 0):
+            two = sorted(np.argsort(fingerprint.mix(own ^ fingerprint._SEED[k]))[:2].tolist())
+            pair = fingerprint.mix(own[two[:1]] + fingerprint.mix(own[two[-1:]] + fingerprint._STEP))
+            want.append(k << 24 | int(pair[0]) & fingerprint.SIGNATURE)
+        assert found == want
+    assert len(set(names.values())) == len(names)
+    # Halves that change places: nearly all k-mers stay, about half of the pairs are turned round.
+    r = random.Random(2)
+    halves = [[" ".join(str(r.random()) for _ in range(25)) for _ in range(2)] for _ in range(40)]
+    swapped = spark.createDataFrame([(f"{a} {b}", f"{b} {a}") for a, b in halves], "a string, b string")
+    swapped = fingerprint.fingerprints(fingerprint.fingerprints(swapped, "a", "f"), "b", "g")
+    assert 0.3 < swapped.agg(F.avg(fingerprint.likeness("f", "g"))).first()[0] < 0.6
+
+
 def test_bloom(spark):
     keys = spark.range(0, 3000).select((F.col("id") * 7919).alias("k"))
     f = bloom.build(keys)
