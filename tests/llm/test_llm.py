@@ -278,6 +278,19 @@ def test_scoring(docs, empty, monkeypatch):
     assert scoring.score(empty).count() == 0
 
 
+def test_model_grows_with_the_training_texts():
+    """Every word met twice has a code, and slots and context words are as many as the counts ask for."""
+    sizes = {}
+    for words, each in ((1_000, 3), (70_000, 2), (70_000, 2_000)):
+        h = scoring.mix(np.arange(1, words + 1, dtype=np.uint64))
+        c = scoring.make_codes(h, np.full(words, each), 0, np.ones(256, np.int64), 10)
+        assert (c.length > 0).all() and sum(2.0 ** -int(x) for x in c.length) < 1
+        sizes[words, each] = (c.slot_bits, c.recent, c.before)
+    assert sizes[1_000, 3] == sizes[70_000, 2] == (scoring.SLOT_BITS, scoring.RECENT, scoring.BEFORE)
+    bits, recent, before = sizes[70_000, 2_000]
+    assert 2 ** bits[0] * 8 >= 140_000_000 and bits[2] > 18 and recent > 256 and before > 2048
+
+
 def test_codes_are_a_distribution():
     """Scores of all texts of one piece sum to one: the decisions of a code tree do."""
     code, length = scoring.huffman(np.asarray([50, 20, 20, 5, 3, 1, 1]))
