@@ -154,11 +154,12 @@ def identify(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return predict(docs.select("doc_id", held_out(4, 2).alias("held_out"), "text"), *learned, bits).drop("text")
 
 
-def accept(docs: DataFrame, least: float = 0.5, bits: int = BITS) -> DataFrame:
-    """The rows of *docs* whose language the model names with a score of at least *least*.
+def accept(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """The rows of *docs* that the model rejects not: texts that are null or have no letter go.
 
-    Rejected are texts that are null or have no letter, and those that no language fits
-    better than the rest together.
+    Where no row has a language nothing is learned, and every text with a letter stays.
     """
-    learned = train(docs.where(~held_out(4, 2)), bits)
-    return predict(docs, *learned, bits).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    languages, matrix = train(docs.where(~held_out(4, 2)), bits)
+    if not languages:
+        languages, matrix = ["any"], np.zeros(((1 << bits) + 1, 1), np.float32)
+    return predict(docs, languages, matrix, bits).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)

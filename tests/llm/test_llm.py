@@ -236,6 +236,14 @@ def test_language(docs, empty):
     assert {r["lang_pred"] for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_stage_keeps_what_no_language_fits_best(spark):
+    """Three languages fit these texts equally; where none is labelled, texts with a letter stay, too."""
+    rows = [(i, "the same words", "abc"[i % 3]) for i in range(30)] + [(100, None, "a"), (101, "12 !!", "b"), (102, "", "c")]
+    some = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for given in (some, some.withColumn("lang", F.lit(None).cast("string"))):
+        assert sorted(r["doc_id"] for r in langid.accept(given).collect()) == list(range(30))
+
+
 def test_mixing(docs, empty):
     rows = [r.asDict() for r in mixing.mix(docs).collect()]
     again = [r.asDict() for r in mixing.mix(docs.repartition(2)).collect()]
