@@ -28,11 +28,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toolcalls.link(*toolcalls.from_conversations(table(spark, sf_dir, "conversations")))
-
-
-def op4_chat_formatting_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toolcalls.format_whole(table(spark, sf_dir, "conversations"))
+    return toolcalls.format_conversations(table(spark, sf_dir, "conversations"))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_lm_scoring, op2_language_id, op3_best_fit_packing, op4_chat_formatting, op4_chat_formatting_whole, op5_url_filters,
+        op1_lm_scoring, op2_language_id, op3_best_fit_packing, op4_chat_formatting, op5_url_filters,
         op6_ngram_jaccard, op7_document_fingerprints, op8_quality_rules, op9_substring_dedup, op10_mixing,
     )
     return {f.__name__: f for f in every}

@@ -373,18 +373,59 @@ def test_tool_calls(spark, tmp_path):
     assert got["c", "a", "ok"]["json"].startswith('{"arguments":{"o":{"b":[2,1],"z":1},"x"') and got["c", "a", "ok"]["args_valid"] and got["c", "a", "ok"]["level"] == 1
     assert got["c", "b", "no_result"]["errors"] == "type:x" and got["c", "b", "no_result"]["level"] == 0 and got["c", "d", "no_result"]["level"] == 2 and got["c", "d", "no_result"]["errors"] == "tool"
     assert got["c", "e", "cycle"]["errors"] == "json" and ("c", "f", "cycle") in got and ("c", "q", "orphan_result") in got and (None, "a", "orphan_result") in got and (None, "a", "no_result") in got
-    assert len(got) == 9
+    assert len(got) == 11 and json.loads(got["c", "f", "cycle"]["json"])["arguments"] == [1] and json.loads(got["c", "e", "cycle"]["json"])["arguments"] == "oops"
+    assert ("d", "a", "repeated_call") in got and json.loads(got["c", "a", "repeated_result"]["json"])["result"] == "rz"
+    twice = spark.createDataFrame([("c", 1, "a", "f", '{"x":"1","x":"2"}', None)], "conv_id string, turn long, call_id string, name string, arguments string, depends_on array<string>")
+    row = toolcalls.link(twice, spark.createDataFrame([], "conv_id string, call_id string, content string"), spark.createDataFrame(schemas, "name string, field string, type string, required boolean")).first()
+    assert row["errors"] == "json" and json.loads(row["json"])["arguments"] == '{"x":"1","x":"2"}'
+
+
+def kahn(deps):
+    """Levels by Kahn's algorithm; what lies on or behind a cycle has none."""
+    deps = {x: {d for d in on if d in deps} for x, on in deps.items()}
+    level, ready = {}, [x for x, on in deps.items() if not on]
+    open_ = {x: set(on) for x, on in deps.items()}
+    while ready:
+        x = ready.pop()
+        level[x] = max((level[d] + 1 for d in deps[x]), default=0)
+        for y, on in open_.items():
+            if x in on:
+                on.remove(x)
+                if not on:
+                    ready.append(y)
+    return {x: level.get(x) for x in deps}
+
+
+def test_levels_equal_kahns(spark):
+    """A long chain, a wide and a deep graph, braided chains, cycles and what hangs on them, strays and nulls, many conversations."""
+    r = random.Random(11)
+    graphs = {
+        "chain": {i: [i - 1] for i in range(500)},
+        "braid": {i: [i - 2, *([i - 4] if i % 3 == 0 else [])] for i in range(1, 260, 2)},
+        "wide": {i: r.sample(range(max(1, i)), min(i, r.randint(0, 3))) for i in range(60)} | {100 + i: [5] for i in range(200)} | {400: list(range(100, 300))},
+        "complete": {i: list(range(i)) for i in range(9)},
+        "cycle": {0: [1], 1: [2], 2: [0], 3: [2], 4: [3, 5], 5: [], 6: [6], 7: [5, 6], 8: [4, 4], 9: [99, None]},
+        "tree": {i: [(i - 1) // 2] for i in range(64)},
+    }
+    rows = [(c, str(x), [None if d is None else str(d) for d in on]) for c, g in graphs.items() for x, on in g.items()]
+    got = {(x["conv_id"], int(x["call_id"])): x["level"] for x in toolcalls.topological_levels(spark.createDataFrame(rows, "conv_id string, call_id string, depends_on array<string>")).collect()}
+    assert got == {(c, x): n for c, g in graphs.items() for x, n in kahn({x: [d for d in on if d is not None] for x, on in g.items()}).items()}
+    assert toolcalls.topological_levels(spark.createDataFrame([], "conv_id string, call_id string, depends_on array<string>")).count() == 0
 
 
 def test_whole_conversations(spark, tmp_path):
-    long = "An answer of more than twenty characters, \"quoted\"\n\u00e9 "
+    """Every row's whole text is in one json, repeated rows as often as they occur."""
+    long = "An answer of more than twenty characters, \"quoted\"\n\u00e9 " * 900
     rows = [(1, 0, "system", "Rules " * 9), (1, 0, "user", "Opening " * 9), (1, 1, "assistant", long * 3), (1, 2, "user", "reply"), (1, 3, "assistant", long + "b"), (1, 3, "assistant", long + "a"), (1, 3, "assistant", long + "a"),
-            (1, 4, "user", "second"), (1, 4, "user", "other"), (2, 5, "user", "orphan"), (2, 6, "tool", "odd role"), (2, None, "user", "no turn"), (None, 1, "assistant", long), (None, 1, None, "no role"), (3, 1, "assistant", None)]
+            (1, 4, "user", "second"), (1, 4, "user", "other"), (2, 5, "user", "orphan"), (2, 6, "tool", "odd role"), (2, None, "user", "no turn"), (2, None, "assistant", "no turn"), (None, 1, "assistant", long), (None, 1, None, "no role"), (3, 1, "assistant", None)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    out = [(r["status"], json.loads(r["json"])) for r in queries.queries()["op4_chat_formatting_whole"](spark, str(tmp_path)).collect()]
+    out = [(r["status"], json.loads(r["json"])) for r in queries.queries()["op4_chat_formatting"](spark, str(tmp_path)).collect()]
     found = collections.Counter(x for _, j in out for x in ((j.get("arguments") or {}).get("query"), j.get("result"), j.get("content")) if x is not None)
     assert found == collections.Counter(t or "" for *_, t in rows)
-    assert collections.Counter(j["role"] for status, j in out if status == "message") == {"system": 1, "user": 3, "assistant": 2, "tool": 1, None: 1}
+    assert collections.Counter(j["role"] for status, j in out if status == "message") == {"system": 1, "user": 2, "tool": 1, None: 1}
+    assert collections.Counter(status for status, _ in out) == {"message": 5, "ok": 2, "repeated_call": 2, "repeated_result": 1, "orphan_result": 1, "no_result": 3}
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert toolcalls.format_conversations(empty).count() == 0
 
 
 def test_url_intervals(spark):
