@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import mix
+from matchlens.llm.common import map_arrow, mix
 
 MIN_BITS, MAX_BITS = 16, 28
 BITS_PER_KEY = 10
@@ -53,7 +53,23 @@ def build(keys: DataFrame) -> Bloom:
         used = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used].view(np.int64))], ["at", "marks"])
 
-    marks = keys.mapInArrow(mark, "at long, marks long").groupBy("at").agg(F.bit_or("marks").alias("marks")).toArrow()
+    marks = map_arrow(keys, mark, "at long, marks long").groupBy("at").agg(F.bit_or("marks").alias("marks")).toArrow()
     words = np.zeros(1 << (bits - 6), np.uint64)
     words[marks.column("at").to_numpy()] = marks.column("marks").to_numpy().astype(np.int64).view(np.uint64)
     return Bloom(words, bits)
+
+
+def chosen(rows: DataFrame, column: str, known: Bloom, inside: bool) -> DataFrame:
+    """The *rows* whose *column* (long, no nulls) may be in the filter, or those for which it certainly is not."""
+    known = rows.sparkSession.sparkContext.broadcast(known)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(known.value.has(batch.column(column).to_numpy()) == inside))
+
+    return map_arrow(rows, choose, rows.schema)
+
+
+def semi(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The *rows* whose *column* (long, no nulls) may be among *keys* (one column): all that are, and few others."""
+    return chosen(rows, column, build(keys), True)

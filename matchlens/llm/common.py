@@ -7,15 +7,16 @@ point.  A null text counts as an empty one.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchlens.sources.shared import shared_dir
+
 #: Pieces of text handled at once in a Python worker; a longer document is its own piece.
 SLICE_BYTES = 2 << 20
 #: Bytes hashed at once: the power tables of that length stay in the CPU's cache.
@@ -58,23 +59,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names.
-
-    Only where that setting is absent (a local session, as in tests) a temporary folder
-    of this machine is set and used.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jsc.isDefined():
-            at = jsc.get()
-        else:
-            at = "file://" + tempfile.mkdtemp(prefix="matchlens-checkpoint-")
-            spark.sparkContext.setCheckpointDir(at)
-    return f"{at.rstrip('/')}/matchlens-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """The rows of *df* as a written table in the shared folder: lineage ends there, and a
     lost executor costs no recomputation of what came before."""
@@ -83,15 +67,52 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def as_bytes(col: str = "text") -> F.Column:
-    """The UTF-8 bytes of a string column; null becomes empty."""
-    return F.coalesce(F.col(col).cast("binary"), F.lit(b"").cast("binary"))
+#: Bytes of rows that Spark sends to a Python worker at once, where the session sets no other limit.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker that idles shares its executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow() in batches of bounded bytes, by workers that give their memory back."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY, None) is None:
+        conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with as many underscores before it as no column of *df* has (in any case)."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def buffer_of(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a binary column without nulls, and the n + 1 offsets of its values."""
-    kind = np.int64 if pa.types.is_large_binary(arr.type) else np.int32
-    offsets = np.frombuffer(arr.buffers()[1], kind)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64) if len(arr) else np.zeros(1, np.int64)
+    """The bytes of a string or binary column (of a null: none), and the n + 1 offsets of its values."""
+    if arr.null_count:
+        arr = arr.fill_null(pa.scalar(b"").cast(arr.type))
+    large = pa.types.is_large_binary(arr.type) or pa.types.is_large_string(arr.type)
+    offsets = np.frombuffer(arr.buffers()[1], np.int64 if large else np.int32)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64) if len(arr) else np.zeros(1, np.int64)
     data = arr.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]

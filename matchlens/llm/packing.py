@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import as_bytes, slices, stored
+from matchlens.llm.common import map_arrow, slices, stored
 
 #: Pieces ranked together in one window partition.
 RANK_ROWS = 100_000
 #: Distinct pretokens a worker remembers, and the longest of them in characters.
-CACHE_WORDS, CACHE_CHARS = 500_000, 48
+CACHE_WORDS, CACHE_CHARS = 150_000, 32
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -57,12 +57,13 @@ class Encoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._special = [t.content.encode() for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._special = [t["content"].encode() for t in json.loads(Path(path).read_text(encoding="utf-8")).get("added_tokens", [])]
+        # Most texts never need it, and it takes memory.
+        self._tokenizer = functools.cache(lambda: Tokenizer.from_file(path))
         self._cut = regex.compile(pattern).findall
         ranks = _byte_ranks(path)
         if ranks is None:
-            encode = lambda text: self._tokenizer.encode(text, add_special_tokens=False).ids
+            encode = lambda text: self._tokenizer().encode(text, add_special_tokens=False).ids
         else:
             encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
@@ -94,7 +95,7 @@ class Encoder:
         values = np.frombuffer(raw, np.uint8)
         kinds = np.bincount(values, minlength=256)
         if kinds[0xD4:].any() or kinds[:9].any() or kinds[0x0E:0x20].any() or any(s in raw for s in self._special):
-            return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.asarray(self._tokenizer().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         # U+0085, U+00A0 and the like are spaces too; they begin with C2 here.
         blank = (values == 32) | (values == 10)
         if kinds[[9, 11, 12, 13]].any() or kinds[0xC2] or (blank[1:] & blank[:-1]).any():
@@ -132,7 +133,7 @@ def pieces(docs: DataFrame, tokenizer: str | None, capacity: int, end_id: int) -
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("text")).mapInArrow(cut, PIECE_SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, PIECE_SCHEMA)
 
 
 Bins = list[tuple[tuple[int, ...], int]]

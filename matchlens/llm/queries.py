@@ -44,11 +44,11 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return repetition.assess(table(spark, sf_dir, "documents"), columns=["doc_id"])
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = substring.dedup(table(spark, sf_dir, "documents"), columns=["doc_id"])
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

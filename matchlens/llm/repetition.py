@@ -6,6 +6,10 @@ each level give the longest common prefix of neighbours in the suffix array by d
 powers of two.  The larger of a suffix's two neighbour prefixes is the length of its
 deepest LCP interval, i.e. of the longest maximal repeat that starts there; the union of
 those spans is what repeats cover.
+
+The ranks of a level take four bytes a word, and there are as many levels as the longest
+repeat has bits; a text of more than ``LONG_WORDS`` words, whose levels would not fit a
+worker, has the same figures from sorted hashes of its windows.
 """
 
 from __future__ import annotations
@@ -15,16 +19,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-
-from matchlens.llm.common import as_bytes, find_words, hash_words, rank_within, slices
 from pyspark.sql import functions as F
 
+from matchlens.llm.common import _BASE, _INV, _powers, find_words, fresh, hash_words, map_arrow, mix, rank_within, slices, windows
+
 #: Shortest repeat, in words, that counts as covered text.
 MIN_REPEAT = 10
-#: A text is kept while repeats cover at most this part of its words ...
-MAX_COVERED = 0.3
-#: ... and its longest repeat is at most this part of them (a shorter one than MIN_REPEAT never fails it).
-MAX_LONGEST = 0.2
+#: A text is kept while repeats of that length cover at most this part of its words (the
+#: published limit for 10-grams of MassiveText, Rae et al. 2021, table A1) ...
+MAX_COVERED = 0.1
+#: ... and its longest repeat has at most so many words (one fewer than a window of substring dedup).
+MAX_LONGEST = 49
+#: Words from which on a text's levels are not kept.
+LONG_WORDS = 1 << 21
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
@@ -52,11 +59,11 @@ def repeats(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     _, w = _dense(words)
-    levels = [_dense(doc * (int(w.max()) + 1) + w)[1]]
+    levels = [_dense(doc * (int(w.max()) + 1) + w)[1].astype(np.int32)]
     width = 1
     # At level k a rank names the 2**k words from a position on (fewer at a document's end).
     while True:
-        rank = levels[-1]
+        rank = levels[-1].astype(np.int64)
         shared = np.bincount(rank)[rank] > 1
         if not shared.any():
             break
@@ -78,7 +85,7 @@ def repeats(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
         sizes = np.bincount(fine)
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         new[at] += starts[fine] - starts[lowest[rank[at]]]
-        levels.append(new)
+        levels.append(new.astype(np.int32))
         width *= 2
     order = np.argsort(levels[-1], kind="stable")
     a, b = order[:-1].copy(), order[1:].copy()
@@ -119,54 +126,103 @@ def _dup_lines(raw: bytes) -> int:
     return n
 
 
-def assess(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST) -> DataFrame:
-    """*docs* with the counts and verdicts of COLUMNS, for whole texts.
+def _window_repeats(h: np.ndarray, k: int) -> np.ndarray:
+    """Which windows of *k* words of one text occur in it twice or more (by 64-bit hashes)."""
+    g = windows(h, k) if k <= 64 else _long_windows(h, k)
+    order = np.argsort(g)
+    same = g[order][1:] == g[order][:-1]
+    out = np.zeros(len(g), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def _long_windows(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every *k* consecutive values, from prefix sums."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    p, inverse = _powers(_BASE, len(h) + 1), _powers(_INV, len(h) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h) * p[:-1])])
+    return mix((sums[k:] - sums[:n]) * inverse[:n])
+
+
+def long_text(h: np.ndarray, min_repeat: int) -> tuple[int, int, int]:
+    """Of one text by its word hashes: words in repeated 3-word windows, words that repeats of
+    *min_repeat* words or more cover, and the longest repeat.
+
+    Every part of a repeat repeats, so its windows of the least length cover the same
+    words, and the longest is found by halving."""
+
+    def cover(k: int) -> int:
+        at = np.flatnonzero(_window_repeats(h, k))
+        return int(covered(at, np.full(len(at), k), len(h)).sum())
+
+    low, high = 0, len(h)
+    while low < high:
+        k = (low + high + 1) // 2
+        low, high = (k, high) if _window_repeats(h, k).any() else (low, k - 1)
+    return cover(3), cover(min_repeat), low
+
+
+def _counts(h: np.ndarray, of: np.ndarray, min_repeat: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As long_text(), for every text of a slice."""
+    total = np.diff(of)
+    if len(total) == 1 and total[0] > LONG_WORDS:
+        return tuple(np.asarray([x], np.int64) for x in long_text(h, min_repeat))
+    doc = rank_within(of, len(h))
+    longest = repeats(h, doc)
+
+    def spans(at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return np.bincount(doc[covered(at, lengths, len(doc))], minlength=len(total))
+
+    three, long = np.flatnonzero(longest >= 3), np.flatnonzero(longest >= min_repeat)
+    most = np.zeros(len(total), np.int64)
+    np.maximum.at(most, doc, longest)
+    return spans(three, np.full(len(three), 3)), spans(long, longest[long]), most
+
+
+def assess(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, columns: list[str] | None = None, names: dict[str, str] | None = None) -> DataFrame:
+    """The *columns* of *docs* (default: all) with the counts and verdicts of COLUMNS, for whole texts.
 
     n_repeat_words counts words in 3-word windows found twice or more; repeat_covered
     those in repeats of *min_repeat* words or more; longest_repeat is in words.
     base_failed: fewer than 50 words, or more than half of them repeat in 3-word windows.
     kept: not base_failed, and the covered part and the longest repeat are within their
-    limits.  Null and empty texts have no words and fail.  Columns of *docs* other than
-    text are passed on; those that clash with the new ones are replaced.
+    limits.  Null and empty texts have no words and fail; repeated rows get equal verdicts.
+    *names* maps those of COLUMNS that are wanted to their names in the result (default:
+    all, by their own); columns of *docs* with these names are replaced.
     """
-    new = [c.split()[0] for c in COLUMNS.split(", ")]
-    keep = [c for c in docs.columns if c.lower() not in new]
+    kinds = dict(c.split() for c in COLUMNS.split(", "))
+    names = {c: c for c in kinds} if names is None else names
+    taken = {x.lower() for x in names.values()}
+    keep = [c for c in (docs.columns if columns is None else columns) if c.lower() not in taken]
     schema = docs.select(*keep).schema
-    for c in COLUMNS.split(", "):
-        schema = schema.add(*c.split())
+    for c, name in names.items():
+        schema = schema.add(name, kinds[c])
+    out_names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in slices(batches, "_text_bytes"):
+        for rows, data, offsets in slices(batches):
             n, raw = rows.num_rows, data.tobytes()
             starts, ends, of = find_words(data, offsets)
-            doc = rank_within(of, len(starts))
-            longest = repeats(hash_words(data, starts, ends), doc)
+            repeat, cover, most = _counts(hash_words(data, starts, ends), of, min_repeat)
             total = np.diff(of)
-
-            def by_doc(flags: np.ndarray, at: np.ndarray = doc, n: int = n) -> np.ndarray:
-                return np.bincount(at[flags], minlength=n)
-
-            three, long = np.flatnonzero(longest >= 3), np.flatnonzero(longest >= min_repeat)
-            repeat = by_doc(covered(three, np.full(len(three), 3), len(doc)))
-            cover = by_doc(covered(long, longest[long], len(doc)))
-            most = np.zeros(n, np.int64)
-            np.maximum.at(most, doc, longest)
             lead = (data & 0xC0) != 0x80
             inside = np.concatenate([[0], np.cumsum(lead)])
-            chars = np.bincount(doc, weights=inside[ends] - inside[starts], minlength=n).astype(np.int64)
+            chars = np.bincount(rank_within(of, len(starts)), weights=inside[ends] - inside[starts], minlength=n).astype(np.int64)
             symbols = np.diff(np.concatenate([[0], np.cumsum(_SYMBOL[data])])[offsets])
             lines = np.asarray([_dup_lines(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
             failed = (total < 50) | (100 * repeat > 50 * total)
-            kept = ~failed & (cover <= max_covered * total) & ((most < min_repeat) | (most <= max_longest * total))
-            values = [total, chars, symbols, lines, repeat, cover, most]
-            yield pa.RecordBatch.from_arrays(
-                [*(rows.column(i) for i in range(len(keep))), *(pa.array(v.astype(np.int64)) for v in values), pa.array(failed), pa.array(kept)], [*keep, *new]
-            )
+            found = {"n_words": total, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": lines, "n_repeat_words": repeat, "repeat_covered": cover, "longest_repeat": most}
+            found = {c: pa.array(v.astype(np.int64)) for c, v in found.items()}
+            found |= {"base_failed": pa.array(failed), "kept": pa.array(~failed & (cover <= max_covered * total) & (most <= max_longest))}
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), *(found[c] for c in names)], out_names)
 
-    return docs.select(*keep, as_bytes().alias("_text_bytes")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*keep) if "text" in keep else docs.select(*keep, "text"), run, schema)
 
 
 def filter_repetitive(docs: DataFrame) -> DataFrame:
     """The rows of *docs* that assess() keeps, with the columns that they had."""
-    verdict = assess(docs.withColumn("_kept_text", F.col("text")))
-    return verdict.where("kept").select(*docs.columns)
+    (kept,) = fresh(docs, "kept")
+    return assess(docs, names={"kept": kept}).where(F.col(kept)).select(*docs.columns)

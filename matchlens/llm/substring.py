@@ -7,7 +7,7 @@ sorting a bucket's windows counts them exactly.
 
 * Minimisers that occur in one document only cannot hold a shared window: an aggregate
   finds the shared ones, and a Bloom filter of them (bounded size) selects what travels.
-* A minimiser in more than ``HOT`` documents would make a bucket of unbounded size: its
+* A minimiser of more than ``HOT`` super-k-mers would make a bucket of unbounded size: its
   windows are counted one by one in an aggregate that combines before the shuffle.
 * Words are named by 40-bit hashes in packed strings, windows by 128-bit digests.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlens.llm import bloom
-from matchlens.llm.common import _powers, as_bytes, find_words, hash_words, mix, rank_within, signed, slices, stored, windows
+from matchlens.llm.common import _powers, find_words, fresh, hash_words, map_arrow, mix, rank_within, signed, slices, stored, windows
 
 K, M = 50, 5
 #: Windows in one super-k-mer at most (texts that repeat one phrase have endless ones).
@@ -31,6 +31,8 @@ HOT = 4_000
 NAME_BYTES = 5
 #: Words of a bucket's strings that are sorted together (whole buckets, so sometimes more).
 SORT_WORDS = 1 << 19
+#: Spans (8 bytes each, some 30 a document) that are broadcast to the texts; more meet them in a shuffle.
+BROADCAST_SPANS = 200_000
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 
 
@@ -77,7 +79,7 @@ def _names(h: np.ndarray) -> np.ndarray:
 
 def _scan(batches: Iterator[pa.RecordBatch], k: int, m: int):
     """Per slice: rows, word hashes, and the super-k-mers with their document and start in it."""
-    for rows, data, offsets in slices(batches, "_text_bytes"):
+    for rows, data, offsets in slices(batches):
         starts, ends, of = find_words(data, offsets)
         h = hash_words(data, starts, ends)
         first, count, least = super_kmers(h, of, k, m)
@@ -88,7 +90,7 @@ def _scan(batches: Iterator[pa.RecordBatch], k: int, m: int):
 def removed_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """(doc_id, _text_hash, start, length): words to remove, spans in words, overlaps included.
 
-    *docs* has doc_id, _text_hash and _text_bytes.  A word goes if it lies in a window
+    *docs* has doc_id, _text_hash and text.  A word goes if it lies in a window
     that also starts in a document with a smaller doc_id.
     """
     docs = docs.where(F.col("doc_id").isNotNull())
@@ -99,11 +101,12 @@ def removed_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
             order = np.lexsort((least, doc))
             d, v = doc[order], least[order]
             new = np.r_[True, (d[1:] != d[:-1]) | (v[1:] != v[:-1])] if len(d) else np.zeros(0, bool)
+            at = np.flatnonzero(new)
             ids = rows.column("doc_id").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(signed(v[new])), pa.array(ids[d[new]])], ["minimiser", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(v[at])), pa.array(ids[d[at]]), pa.array(np.diff(np.append(at, len(d))))], ["minimiser", "doc_id", "n"])
 
-    found = docs.mapInArrow(minimisers, "minimiser long, doc_id long")
-    found = found.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
+    found = map_arrow(docs.select("doc_id", "text"), minimisers, "minimiser long, doc_id long, n long")
+    found = found.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("n").alias("n"))
     shared = stored(found.where("a < b").select("minimiser", "n"))
     may = sc.broadcast(bloom.build(shared.select("minimiser")))
     very = shared.where(F.col("n") > HOT).select("minimiser")
@@ -171,7 +174,8 @@ def removed_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
         yield _runs(again, row, nth, t.column("doc_id"), t.column("_text_hash"), t.column("start").to_numpy(), k)
 
     key = "minimiser"
-    flags = docs.mapInArrow(travel, "minimiser long, doc_id long, _text_hash long, start int, packed binary").repartition(key).sortWithinPartitions(key).mapInArrow(judge, _SPANS)
+    sent = map_arrow(docs, travel, "minimiser long, doc_id long, _text_hash long, start int, packed binary")
+    flags = map_arrow(sent.repartition(key).sortWithinPartitions(key), judge, _SPANS)
     if any_hot:
         flags = flags.unionByName(_hot_spans(docs, hot, k, m))
     return flags
@@ -208,57 +212,95 @@ def _hot_spans(docs: DataFrame, hot, k: int, m: int) -> DataFrame:
                 ["d1", "d2", "doc_id", "_text_hash", "start"],
             )
 
-    each = docs.mapInArrow(single, "d1 long, d2 long, doc_id long, _text_hash long, start int")
+    each = map_arrow(docs, single, "d1 long, d2 long, doc_id long, _text_hash long, start int")
     # Only digests of two documents or more matter; both aggregates combine before the shuffle.
     first = each.groupBy("d1", "d2").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last")
     later = each.join(first.drop("_last"), ["d1", "d2"]).where("doc_id > _first")
     return later.select("doc_id", "_text_hash", "start", F.lit(k).alias("length"))
 
 
-def dedup(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """*docs* with n_words, n_removed and kept_text (the kept words joined by one space).
-
-    Every word goes that lies in a window of *k* words that also starts in a document
-    with a smaller doc_id; windows are judged on the input.  A null text has no words and
-    an empty kept_text; texts shorter than a window, and rows without a doc_id, keep all.
-    Rows that share a doc_id keep what they share with each other.  Other columns are
-    passed on; those named n_words, n_removed, kept_text are replaced.
-    """
-    new = ["n_words", "n_removed", "kept_text"]
-    keep = [c for c in docs.columns if c.lower() not in new]
-    sc = docs.sparkSession.sparkContext
-    keyed = docs.select(*keep).withColumns({"_text_bytes": as_bytes(), "_text_hash": F.xxhash64("text")})
-    spans = removed_spans(keyed.select("doc_id", "_text_hash", "_text_bytes"), k, m)
-    spans = stored(spans.groupBy("doc_id", "_text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_spans")))
-    touched = sc.broadcast(bloom.build(spans.select(F.xxhash64("doc_id", "_text_hash"))))
-    schema = docs.select(*keep).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+def _cut(docs: DataFrame, k: int, m: int, keep: list[str], names: tuple[str, str, str], in_place: bool) -> DataFrame:
+    """The columns *keep* of *docs*, and those of *names*; with *in_place* the text itself is
+    what is kept of it (unchanged where no word goes), and there is no third."""
+    n_words, n_removed, kept_text = names
+    text_hash, spans_name, key, span_id, span_hash = fresh(docs, "_text_hash", "_spans", "_key", "_span_id", "_span_hash")
+    if "doc_id" not in keep:
+        raise ValueError("doc_id must be among the columns that are kept")
+    spans = removed_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text_hash"), "text"), k, m)
+    spans = stored(spans.groupBy("doc_id", "_text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("_spans")))
+    schema = docs.select(*keep).schema.add(n_words, "long").add(n_removed, "long")
+    schema = schema if in_place else schema.add(kept_text, "string")
+    out_names = schema.names
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in slices(batches, "_text_bytes"):
+        for rows, data, offsets in slices(batches):
             raw = data.tobytes()
-            spans = rows.column("_spans").to_pylist() if "_spans" in rows.schema.names else [None] * rows.num_rows
-            total, gone, kept = [], [], []
-            for i, own in enumerate(spans):
+            _, _, of = find_words(data, offsets)
+            total = np.diff(of)
+            gone, kept = np.zeros(len(total), np.int64), []
+            have = spans_name in rows.schema.names
+            touched = rows.column(spans_name).is_valid().to_numpy(zero_copy_only=False) if have else np.zeros(len(total), bool)
+            for i in range(len(total)) if not in_place else np.flatnonzero(touched).tolist():
                 words = raw[offsets[i] : offsets[i + 1]].split()
-                total.append(len(words))
-                if own:
+                if touched[i]:
+                    own = rows.column(spans_name)[i].values
+                    start, length = (own.field(c).to_numpy() for c in ("start", "length"))
                     edge = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(edge, [s["start"] for s in own], 1)
-                    np.add.at(edge, [s["start"] + s["length"] for s in own], -1)
-                    words = [words[j] for j in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
-                gone.append(total[-1] - len(words))
+                    np.add.at(edge, start, 1)
+                    np.add.at(edge, start + length, -1)
+                    left = np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()
+                    gone[i] = len(words) - len(left)
+                    words = [words[j] for j in left]
                 kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays(
-                [*(rows.column(c) for c in keep), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*keep, *new]
-            )
+            columns = [rows.column(c) for c in keep]
+            if in_place:
+                if touched.any():
+                    new = rows.column("text").to_pylist()
+                    for i, x in zip(np.flatnonzero(touched).tolist(), kept, strict=True):
+                        new[i] = x.decode() if gone[i] else new[i]
+                    columns[keep.index("text")] = pa.array(new, pa.string())
+            else:
+                kept = [pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(total), pa.array(gone), *([] if in_place else kept)], out_names)
+
+    wanted = keep if "text" in keep else [*keep, "text"]
+    marked = docs.select(*wanted).withColumn(text_hash, F.xxhash64("text"))
+    named = spans.select(F.col("doc_id").alias(span_id), F.col("_text_hash").alias(span_hash), F.col("_spans").alias(spans_name))
+    on = (F.col("doc_id").cast("long") == F.col(span_id)) & (F.col(text_hash) == F.col(span_hash))
+    if (spans.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= BROADCAST_SPANS:
+        return map_arrow(marked.join(F.broadcast(named), on, "left").select(*wanted, spans_name), finish, schema)
+    # Rows that certainly have no span need no join; only the others' texts are shuffled.
+    with_key = marked.withColumn(key, F.coalesce(F.xxhash64(F.col("doc_id").cast("long"), F.col(text_hash)), F.lit(0)))
+    filter_ = bloom.build(spans.select(F.xxhash64("doc_id", "_text_hash")))
+    maybe = bloom.chosen(with_key, key, filter_, True)
+    rest = bloom.chosen(with_key, key, filter_, False).select(*wanted)
+    maybe = maybe.join(named.hint("merge"), on, "left")
+    return map_arrow(rest, finish, schema).unionByName(map_arrow(maybe.select(*wanted, spans_name), finish, schema))
 
-    def choose(batches: Iterator[pa.RecordBatch], inside: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(touched.value.has(batch.column("_key").to_numpy()) == inside)).drop_columns(["_key"])
 
-    # Rows that certainly have no span need no join; only the others' texts are shuffled.
-    marked = keyed.withColumn("_key", F.xxhash64("doc_id", "_text_hash"))
-    untouched = marked.drop("_text_hash").mapInArrow(lambda batches: finish(choose(batches, False)), schema)
-    maybe = marked.drop("_text_bytes").mapInArrow(lambda batches: choose(batches, True), keyed.drop("_text_bytes").schema)
-    maybe = maybe.join(spans, ["doc_id", "_text_hash"], "left").select(*keep, as_bytes().alias("_text_bytes"), "_spans").mapInArrow(finish, schema)
-    return untouched.unionByName(maybe)
+def dedup(docs: DataFrame, k: int = K, m: int = M, columns: list[str] | None = None) -> DataFrame:
+    """The *columns* of *docs* (default: all) with n_words, n_removed and kept_text (the kept
+    words joined by one space).
+
+    Every word goes that lies in a window of *k* words that also starts in a document
+    with a smaller doc_id; windows are judged on the input.  A null text has no words and
+    an empty kept_text; texts shorter than a window, and rows without a doc_id, keep all.
+    Rows that share a doc_id keep what they share with each other.  Other columns are
+    passed on; those named n_words, n_removed, kept_text are replaced.
+    """
+    new = ("n_words", "n_removed", "kept_text")
+    keep = [c for c in (docs.columns if columns is None else columns) if c.lower() not in new]
+    return _cut(docs, k, m, keep, new, False)
+
+
+def clean(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
+    """*docs* without the words that dedup() removes, and without documents that lose all of theirs.
+
+    Texts that lose none stay as they are; those that do are the kept words joined by one
+    space.  Only text changes, and n_chars where the table has such a column and the text changed."""
+    n_words, n_removed, _ = names = tuple(fresh(docs, "n_words", "n_removed", "kept_text"))
+    out = _cut(docs, k, m, list(docs.columns), names, True).where((F.col(n_removed) < F.col(n_words)) | (F.col(n_words) == 0))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col(n_removed) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -12,6 +12,7 @@ from itertools import pairwise
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchlens.llm import bloom, fingerprint, jaccard, langid, mixing, packing, queries, repetition, scoring, substring, toolcalls, urlfilter
@@ -217,11 +218,47 @@ def test_repeats_and_rules(docs, empty):
         lines = [x for x in text.split("\n") if words_of(x)]
         want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again))
         assert tuple(row[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
-        assert row["base_failed"] == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and not (row["kept"] and row["base_failed"])
-        assert row["kept"] or row["base_failed"] or row["repeat_covered"] > 0.3 * len(w) or row["longest_repeat"] > 0.2 * len(w)
+        covered, longest = repeated(w, 10)
+        assert (row["repeat_covered"], row["longest_repeat"]) == (covered, longest)
+        assert row["base_failed"] == (len(w) < 50 or 100 * len(again) > 50 * len(w))
+        assert row["kept"] == (not row["base_failed"] and covered <= 0.1 * len(w) and longest < 50)
     assert repetition.assess(empty).count() == 0 and repetition.filter_repetitive(docs).columns == docs.columns
 
 
+def repeated(w, least):
+    """Words that repeats of so many words cover, and the longest repeat, by comparing all windows."""
+    seen = collections.defaultdict(list)
+    for i in range(len(w) - least + 1):
+        seen[tuple(w[i : i + least])].append(i)
+    covered = {j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + least)}
+    longest, k = 0, 1
+    while len({tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) < len(w) - k + 1:
+        longest, k = k, k + 1
+    return len(covered), longest
+
+
+def test_planted_repeats_decide(spark, monkeypatch):
+    """Texts that pass the base are rejected for covered parts and for one long repeat; clean and lightly repeating ones stay."""
+    r = random.Random(4)
+    prose = lambda n: [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+    line, passage = prose(12), prose(60)
+    texts = {
+        "clean": prose(400), "light": prose(150) + line + prose(150) + line + prose(20), "covered": prose(60) + line + prose(60) + line + prose(20),
+        "long": prose(900) + passage + prose(900) + passage, "short repeats": (prose(8) + ["and", "so", "on"]) * 1 + prose(300) + ["and", "so", "on"], "few": line * 2,
+    }
+    docs = spark.createDataFrame([(i, " ".join(t), k) for i, (k, t) in enumerate(texts.items())], "doc_id long, text string, kept string")
+    for long_words in (repetition.LONG_WORDS, 100):
+        monkeypatch.setattr(repetition, "LONG_WORDS", long_words)
+        monkeypatch.setattr(repetition, "MIN_REPEAT", 10)
+        h = {k: repetition.hash_words(*(lambda d: (d, *repetition.find_words(d, np.asarray([0, len(d)]))[:2]))(np.frombuffer(" ".join(t).encode(), np.uint8))) for k, t in texts.items()}
+        for k, t in texts.items():
+            three, cover, most = (int(x[0]) for x in repetition._counts(h[k], np.asarray([0, len(t)]), 10))
+            assert (three, cover, most) == (repeated(t, 3)[0], *repeated(t, 10)), k
+    assert {x["kept"] for x in repetition.filter_repetitive(docs).collect()} == {"clean", "light", "short repeats"}
+    verdicts = {x["doc_id"]: x for x in repetition.assess(docs, columns=["doc_id"]).collect()}
+    assert [verdicts[i]["base_failed"] for i in range(6)] == [False] * 5 + [True]
+
+
 def test_language(docs, empty):
     got = {(r["doc_id"], r["held_out"]): r for r in langid.identify(docs).collect()}
     rows = {d: (t, lang) for d, t, lang, *_ in corpus()}
@@ -266,6 +303,19 @@ def test_mixing(docs, empty):
         assert all(r["target"] == pytest.approx(target[s]) and r["source_size"] == total[s] for r in own)
         assert abs(sum(r["size"] * r["copies"] for r in own) - target[s]) <= 0.5 * max(r["size"] for r in own) + 1
     assert mixing.mix(empty).count() == 0
+    sized = collections.Counter((r["doc_id"], r["source"], r["size"], r["source_size"], round(r["target"], 6), r["copies"]) for r in mixing.mix_sizes(docs).collect())
+    assert sized == collections.Counter((r["doc_id"], r["source"], r["size"], r["source_size"], round(r["target"], 6), r["copies"]) for r in rows)
+
+
+def test_mixing_comes_near_with_few_documents(spark):
+    """Thirty documents a source: single copies of documents that fit close most of what rounding leaves."""
+    r = random.Random(8)
+    rows = [(i, "w " * r.randint(5, 900), f"s{i % 6}") for i in range(180)]
+    got = mixing.mix_sizes(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in {r["source"] for r in got}:
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["size"] * r["copies"] for r in own) - own[0]["target"]) <= 0.01 * own[0]["target"]
+        assert all(0 <= r["copies"] <= 3 for r in own)
 
 
 def test_scoring(docs, empty, monkeypatch):
@@ -326,27 +376,34 @@ def test_fingerprints(docs, empty, monkeypatch):
 
 def test_signatures_are_the_two_least_of_all(spark):
     """Every seed selects from all numbered k-mers of the text, and a short text's signatures keep the order."""
-    texts = ["", "one", "one two", "a b c", " ".join("a b c d".split() * 5), " ".join(f"w{i * i % 31}" for i in range(40)), "x y z x y z"]
-    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
-    v, count = fingerprint.numbered_kmers(data, offsets)
-    got, at, names = fingerprint.signatures(data, offsets).to_pylist(), 0, {}
-    for text, n, found in zip(texts, count.tolist(), got, strict=True):
-        w = words_of(text)
-        kmers = [tuple(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [tuple(w)] if w else []
-        own = v[at : at + n]
-        at += n
-        numbered = [(x, kmers[:i].count(x)) for i, x in enumerate(kmers)]
-        assert len(numbered) == n and all(names.setdefault(x, int(h)) == int(h) for x, h in zip(numbered, own, strict=True))
-        want = []
-        for k in range(64 if n else 0):
-            two = sorted(np.argsort(fingerprint.mix(own ^ fingerprint._SEED[k]))[:2].tolist())
-            pair = fingerprint.mix(own[two[:1]] + fingerprint.mix(own[two[-1:]] + fingerprint._STEP))
-            want.append(k << 24 | int(pair[0]) & fingerprint.SIGNATURE)
-        assert found == want
-    assert len(set(names.values())) == len(names)
+    texts = ["", " \t", "one", "one two", "a b c", " ".join("a b c d".split() * 5), " ".join(f"w{i * i % 31}" for i in range(40)), "x y z x y z", " ".join(f"v{i * 7919 % 5003}" for i in range(3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: r["fingerprint"] for r in fingerprint.fingerprints(docs).collect()}
+    shift, each = fingerprint.POSITION_BITS, fingerprint.SEEDS // fingerprint.CIRCLES
+    # Row by row: numbered k-mers and their hashes, without arrays.
+    rows = [(i, at, *(w + [None] * 3)[:3]) for i, t in enumerate(texts) for w0 in [words_of(t)] for at in range(max(len(w0) - 2, min(len(w0), 1))) for w in [w0[at : at + 3]]]
+    flat = spark.createDataFrame(rows, "id long, at int, a string, b string, c string").withColumns({x: F.when(F.col(x).isNotNull(), F.xxhash64(x)) for x in "abc"})
+    flat = flat.withColumn("kmer", F.shiftright(F.xxhash64("a", "b", "c"), shift)).withColumn("nth", F.row_number().over(Window.partitionBy("id", "kmer").orderBy("at")))
+    flat = flat.select("id", "at", *(F.shiftright(F.xxhash64("kmer", "nth", F.lit(r)), shift).alias(f"p{r}") for r in range(fingerprint.CIRCLES)))
+    own = collections.defaultdict(list)
+    for x in flat.collect():
+        own[x["id"]].append(x)
+    pairs, want = [], collections.defaultdict(list)
+    for i, found in own.items():
+        for seed in range(fingerprint.SEEDS):
+            r, start = seed // each, fingerprint.starting_point(seed)
+            order = sorted(found, key=lambda x: (((x[f"p{r}"] << shift | x["at"]) - start) % (1 << 64)))
+            two = sorted((order * 2)[:2] if len(order) > 1 else order * 2, key=lambda x: x["at"])
+            pairs.append((i, seed, two[0][f"p{r}"], two[1][f"p{r}"]))
+    for x in spark.createDataFrame(pairs, "id long, seed long, x long, y long").withColumn("h", F.xxhash64("x", "y").bitwiseAND(F.lit(fingerprint.SIGNATURE))).orderBy("id", "seed").collect():
+        want[x["id"]].append(x["seed"] << 24 | x["h"])
+    assert got == {i: want[i] for i in range(len(texts))} and len(want) == len(texts) - 2
+    # Likeness is the part of the seeds that agree.
+    two = spark.createDataFrame([(got[6], got[7], got[0])], "a array<long>, b array<long>, c array<long>").select(*(fingerprint.likeness(x, y) for x, y in ("ab", "aa", "ac", "cc"))).first()
+    assert tuple(two) == (len(set(got[6]) & set(got[7])) / fingerprint.SEEDS, 1.0, 0.0, 1.0)
     # Halves that change places: nearly all k-mers stay, about half of the pairs are turned round.
     r = random.Random(2)
-    halves = [[" ".join(str(r.random()) for _ in range(25)) for _ in range(2)] for _ in range(40)]
+    halves = [[" ".join(str(r.random()) for _ in range(25)) for _ in range(2)] for _ in range(60)]
     swapped = spark.createDataFrame([(f"{a} {b}", f"{b} {a}") for a, b in halves], "a string, b string")
     swapped = fingerprint.fingerprints(fingerprint.fingerprints(swapped, "a", "f"), "b", "g")
     assert 0.3 < swapped.agg(F.avg(fingerprint.likeness("f", "g"))).first()[0] < 0.6
@@ -473,3 +530,39 @@ def test_pipeline(spark, tmp_path, docs):
     assert after.where("doc_id is not null").count() == len(kept) < before.count()
     assert sum(len(words_of(r["text"])) for r in seen[2][2].collect()) < sum(len(words_of(r["text"])) for r in seen[2][1].collect())
     assert at.count() > 0 and len({(r["sequence_id"], r["offset"]) for r in at.collect()}) == at.count()
+
+
+AWKWARD = ("score", "lang_pred", "n_words", "n_removed", "kept_text", "kept", "size", "copies", "target", "source_size", "_total", "_size", "_null", "_source", "_doc", "_key", "_spans", "_text_hash", "_text_bytes", "_text", "_own", "_bucket", "_packed", "host", "component_id", "n", "rep", "held_out")
+
+
+def test_own_columns_stay(spark, docs):
+    """No operator replaces a column of the caller's that it does not say it replaces, or stumbles over its name."""
+    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).drop("score").withColumns({c: F.concat(F.lit(f"{c}-"), F.col("doc_id")) for c in AWKWARD})
+    plain = named.drop(*AWKWARD)
+
+    def same(got, replaced=()):
+        rows = got.collect()
+        for row in rows:
+            assert all(row[c] == f"{c}-{row['doc_id']}" for c in AWKWARD if c not in replaced)
+        return collections.Counter(tuple(row[c] for c in plain.columns) for row in rows)
+
+    for stage in (langid.accept, substring.clean, mixing.repeat, repetition.filter_repetitive):
+        assert stage(named).columns == named.columns
+        assert same(stage(named)) == collections.Counter(tuple(x) for x in stage(plain).select(*plain.columns).collect()), stage.__name__
+    same(substring.dedup(named), ("n_words", "n_removed", "kept_text"))
+    same(mixing.mix(named), ("size", "source_size", "target", "copies"))
+    same(langid.predict(named, *langid.train(named)), ("lang_pred", "score"))
+    same(repetition.assess(named), ("n_words", "kept"))
+    same(fingerprint.fingerprints(named))
+    for op in (lambda d: jaccard.link(d), lambda d: packing.pack(d), lambda d: scoring.score(d), lambda d: langid.identify(d), fingerprint.edit_report, mixing.mix_sizes):
+        assert collections.Counter(map(str, op(named).drop("sequence_id", "offset").collect())) == collections.Counter(map(str, op(plain).drop("sequence_id", "offset").collect()))
+
+
+def test_captures_keep_their_columns_and_repeats(spark):
+    entries = spark.createDataFrame([("l", "block", "domain", "x.org", True, "2024-01-02")], "list string, verdict string, kind string, pattern string, added boolean, day string").withColumn("day", F.to_date("day"))
+    rows = [(1, "http://a.x.org/", "2024-01-03", "own")] * 2 + [(1, "http://other.net/", "2024-01-03", "own"), (None, "http://x.org", "2024-01-03", "own"), (None, None, None, "own")]
+    captures = spark.createDataFrame(rows, "capture_id long, url string, d string, host string").withColumn("fetched_on", F.to_date("d")).withColumns({c: F.lit(f"{c}!") for c in ("kind", "pattern", "k", "_best", "_salt", "depth", "verdict", "n")})
+    got = urlfilter.judge(captures, entries).collect()
+    assert len(got) == 5 and all(x[c] == f"{c}!" for x in got for c in ("kind", "pattern", "k", "_best", "_salt", "depth", "verdict", "n"))
+    assert sorted((x["url"] or "", x["n_block"], x["blocked"]) for x in got) == [("", 0, False), ("http://a.x.org/", 1, True), ("http://a.x.org/", 1, True), ("http://other.net/", 0, False), ("http://x.org", 1, True)]
+    assert urlfilter.judge(captures.limit(0), entries.limit(0)).count() == 0 and {x["n_block"] for x in urlfilter.judge(captures, entries.limit(0)).collect()} == {0}
