@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most intervals (about 100 bytes each) that are broadcast; beyond, captures of one host are salted.
+from matchlens.llm.common import stored
+
+#: Most intervals (about 100 bytes each) that are broadcast; more meet each pattern and day once.
 BROADCAST_INTERVALS = 200_000
-SALTS = 32
 
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 _PATH = r"^[^:/?#]+://[^/?#]*([^?#]*)"
@@ -49,31 +50,37 @@ def _keys(host: Column, path: Column) -> Column:
 
 
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """*captures* (url, fetched_on, and a unique capture_id) with host, n_block, n_allow, rule, blocked.
+    """*captures* (url, fetched_on, any other columns) with host, n_block, n_allow, rule, blocked.
 
     n_block and n_allow count the valid entries that name the capture; rule is the most
     specific one (URL prefixes by length, then host, then domains by length; an allow
     before a block); blocked is its verdict.  A null or malformed URL, and a null
-    fetched_on, match nothing and aren't blocked.
+    fetched_on, match nothing and aren't blocked.  Repeated captures get equal verdicts, as
+    each URL and day is judged once; own columns named as the new ones are replaced.
     """
-    valid = intervals(entries).persist()
-    small = valid.limit(BROADCAST_INTERVALS + 1).count() <= BROADCAST_INTERVALS
-    dated = captures.select("capture_id", "fetched_on", F.explode(_keys(host_of(F.col("url")), F.regexp_extract("url", _PATH, 1))).alias("k")).select("capture_id", "fetched_on", "k.*")
-    on = ["kind", "pattern"]
-    if small:
-        valid = F.broadcast(valid)
-    else:
-        dated = dated.withColumn("_salt", F.pmod(F.xxhash64("capture_id"), F.lit(SALTS)))
-        valid = valid.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
-        on.append("_salt")
+    valid = stored(intervals(entries))
+    day, key = ["url", "fetched_on"], ["kind", "pattern"]
+    asked = captures.select(*day).where("url is not null and fetched_on is not null").distinct()
+    keys = asked.select(*day, F.explode(_keys(host_of(F.col("url")), F.regexp_extract("url", _PATH, 1))).alias("k")).select(*day, "k.*")
     active = (F.col("valid_from") <= F.col("fetched_on")) & (F.col("valid_to").isNull() | (F.col("fetched_on") < F.col("valid_to")))
-    found = dated.join(valid, on).where(active)
-    best = F.struct("depth", F.length("pattern").alias("n"), (F.col("verdict") == "allow").alias("allow"), F.concat_ws(":", "verdict", "list", "kind", "pattern").alias("rule"))
-    verdicts = found.groupBy("capture_id").agg(F.count_if(F.col("verdict") == "block").alias("n_block"), F.count_if(F.col("verdict") == "allow").alias("n_allow"), F.max(best).alias("_best"))
-    out = captures.join(verdicts, "capture_id", "left")
+    blocks, allows = (F.count_if(F.col("verdict") == v) for v in ("block", "allow"))
+    rule = F.concat_ws(":", "verdict", "list", *key)
+    best = [F.col("depth"), F.length("pattern").alias("n"), (F.col("verdict") == "allow").alias("allow"), rule.alias("rule")]
+    if valid.count() <= BROADCAST_INTERVALS:
+        found = keys.join(F.broadcast(valid), key).where(active).groupBy(*day).agg(blocks.alias("n_block"), allows.alias("n_allow"), F.max(F.struct(*best)).alias("best"))
+    else:
+        # A domain that most captures lie in meets the list once a day, not once a capture.
+        pairs = keys.select(*key, "fetched_on").distinct().join(valid, key).where(active).groupBy(*key, "fetched_on")
+        pairs = pairs.agg(blocks.alias("blocks"), allows.alias("allows"), F.max(F.struct(*best[2:])).alias("own"))
+        most = F.max(F.struct(*best[:2], F.col("own.allow"), F.col("own.rule")))
+        found = keys.join(pairs, [*key, "fetched_on"]).groupBy(*day).agg(F.sum("blocks").alias("n_block"), F.sum("allows").alias("n_allow"), most.alias("best"))
+    new = ("host", "n_block", "n_allow", "rule", "blocked")
+    rows = captures.select(*day, F.struct(*(F.col(f"`{c}`") for c in captures.columns)).alias("_row"))
+    out = rows.join(found, day, "left")
+    number = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_block", "n_allow")]
     return out.select(
-        *captures.columns, host_of(F.col("url")).alias("host"), F.coalesce("n_block", F.lit(0)).cast("long").alias("n_block"), F.coalesce("n_allow", F.lit(0)).cast("long").alias("n_allow"),
-        F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best").isNotNull() & ~F.col("_best.allow"), F.lit(False)).alias("blocked"),
+        *(F.col(f"_row.`{c}`") for c in captures.columns if c.lower() not in new), host_of(F.col("url")).alias("host"), *number,
+        F.col("best.rule").alias("rule"), F.coalesce(F.col("best").isNotNull() & ~F.col("best.allow"), F.lit(False)).alias("blocked"),
     )
 
 
@@ -105,7 +112,7 @@ def page_lists(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 SQL = r"""
 WITH cap AS (SELECT page_id AS capture_id, url, CAST(DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS DATE) AS fetched_on,
-    lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    rtrim(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.') AS host, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 h AS (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 5) AS BIGINT) AS a, CAST('0x' || substr(md5(host), 6, 5) AS BIGINT) AS b, regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) AS domain FROM cap WHERE host <> ''),
 ev AS (SELECT 'spam' AS list, 'block' AS verdict, 'domain' AS kind, domain AS pattern, TRUE AS added, a % 200 AS day FROM h WHERE a % 3 = 0
   UNION ALL SELECT 'spam', 'block', 'domain', domain, FALSE, a % 200 + 60 FROM h WHERE a % 6 = 0 UNION ALL SELECT 'spam', 'block', 'domain', domain, TRUE, a % 200 + 120 FROM h WHERE a % 12 = 0

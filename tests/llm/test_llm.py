@@ -397,7 +397,7 @@ def test_signatures_are_the_two_least_of_all(spark):
             pairs.append((i, seed, two[0][f"p{r}"], two[1][f"p{r}"]))
     for x in spark.createDataFrame(pairs, "id long, seed long, x long, y long").withColumn("h", F.xxhash64("x", "y").bitwiseAND(F.lit(fingerprint.SIGNATURE))).orderBy("id", "seed").collect():
         want[x["id"]].append(x["seed"] << 24 | x["h"])
-    assert got == {i: want[i] for i in range(len(texts))} and len(want) == len(texts) - 2
+    assert got == {i: want.get(i, []) for i in range(len(texts))} and len(want) == len(texts) - 2
     # Likeness is the part of the seeds that agree.
     two = spark.createDataFrame([(got[6], got[7], got[0])], "a array<long>, b array<long>, c array<long>").select(*(fingerprint.likeness(x, y) for x, y in ("ab", "aa", "ac", "cc"))).first()
     assert tuple(two) == (len(set(got[6]) & set(got[7])) / fingerprint.SEEDS, 1.0, 0.0, 1.0)
