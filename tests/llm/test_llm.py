@@ -319,8 +319,14 @@ def test_mixing_comes_near_with_few_documents(spark):
 
 
 def test_scoring(docs, empty, monkeypatch):
-    monkeypatch.setattr(scoring, "COUNTED", 150)
+    monkeypatch.setattr(scoring, "CODED_WORDS", 150)
     got = scoring.score(docs).collect()
+    # In parts, a document's score is that of the whole but for where its chunks begin.
+    monkeypatch.setattr(scoring, "PIECE_BYTES", 300)
+    parts = {(r["doc_id"], r["n_tokens"]): r for r in scoring.score(docs).collect()}
+    for r in got:
+        p = parts[r["doc_id"], r["n_tokens"]]
+        assert p["score"] == pytest.approx(r["score"], rel=1e-3) and (p["n_known"], p["train_tokens"], p["bits_per_byte"] > 0) == (r["n_known"], r["train_tokens"], True) and p["base_score"] == pytest.approx(r["base_score"])
     train = collections.Counter()
     for d, t, *_ in corpus():
         if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2:
@@ -337,7 +343,7 @@ def test_scoring(docs, empty, monkeypatch):
 
 
 def test_model_grows_with_the_training_texts():
-    """Every word met twice has a code, and slots and context words are as many as the counts ask for."""
+    """Every word met twice of those given has a code; slots and context words double as the tokens quadruple."""
     sizes = {}
     for words, each in ((1_000, 3), (70_000, 2), (70_000, 2_000)):
         h = scoring.mix(np.arange(1, words + 1, dtype=np.uint64))
@@ -345,8 +351,69 @@ def test_model_grows_with_the_training_texts():
         assert (c.length > 0).all() and sum(2.0 ** -int(x) for x in c.length) < 1
         sizes[words, each] = (c.slot_bits, c.recent, c.before)
     assert sizes[1_000, 3] == sizes[70_000, 2] == (scoring.SLOT_BITS, scoring.RECENT, scoring.BEFORE)
-    bits, recent, before = sizes[70_000, 2_000]
-    assert 2 ** bits[0] * 8 >= 140_000_000 and bits[2] > 18 and recent > 256 and before > 2048
+    assert sizes[70_000, 2_000] == ((22, 22, 19), 512, 4096)
+    assert [scoring.doublings(scoring.LEAST_TOKENS * 4**k) for k in range(6)] == list(range(6))
+
+
+def test_slots_hold_counts():
+    r = random.Random(6)
+    zeros, ones = (np.asarray([r.choice([0, 1, 5, 64, 65, 1000, 10**6]) for _ in range(300)]) for _ in range(2))
+    packed = scoring.pack_slots(zeros, ones)
+    for z, o, v in zip(zeros.tolist(), ones.tolist(), packed.tolist(), strict=True):
+        assert abs(scoring._ZEROS[v] - z) <= 0.1 * z and abs(scoring._ONES[v] - o) <= 0.1 * o and (z > 64 or scoring._ZEROS[v] == z)
+        assert abs(scoring._LOGITS[v] - max(-8, min(8, math.log((o + 0.4) / (z + 0.4))))) < 0.2
+    used = np.unique(np.asarray([0, 3, 300, 65535, *(r.randint(0, 65535) for _ in range(50))]))
+    pairs = np.asarray([[r.choice([0, 1, 254, 255, 256, 10**6]), 1] for _ in used])
+    at, counts = scoring._unsqueezed(scoring._squeezed(used, pairs))
+    assert at.tolist() == used.tolist() and counts.tolist() == pairs.tolist()
+
+
+def model(texts):
+    """Codes and slots of a few texts, without Spark."""
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    starts, ends, _ = scoring.find_words(data, offsets)
+    h, n = np.unique(scoring.hash_words(data, starts, ends, lower=True), return_counts=True)
+    codes = scoring.make_codes(h, n, 0, np.bincount(scoring._LOWER[data], minlength=256), len(texts))
+    slots = []
+    for k, s in enumerate(scoring.decisions(codes, data, offsets).slots):
+        seen = np.zeros((1 << codes.slot_bits[k], 2), np.int64)
+        np.add.at(seen, (s, scoring.decisions(codes, data, offsets).y), 1)
+        slots.append(scoring.pack_slots(seen[:, 0], seen[:, 1]))
+    return codes, slots
+
+
+def test_scores_equal_a_loop_over_decisions():
+    """One decision at a time: logits from counts, gate, weights, and a step by what the document decided before its chunk."""
+    r = random.Random(9)
+    vocab = [f"w{i}" for i in range(60)]
+    texts = [" ".join(r.choice(vocab) for _ in range(r.randint(0, 120))) + ("." if i % 2 else "") for i in range(12)]
+    codes, slots = model(texts)
+    weights = np.random.default_rng(1).uniform(0.1, 0.6, (16, 3))
+    tried = [*texts[:4], "w1 unseen w2, w3 w59 " * 9, "", "éé ü"]
+    data, offsets = np.frombuffer("".join(tried).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in tried)])
+    piece = scoring.decisions(codes, data, offsets)
+    got = scoring.mixed_log10(piece, slots, weights)
+    chunk = 1 << scoring.CHUNK_SHIFT
+    for d in range(len(tried)):
+        total, slope, bend = 0.0, np.zeros((16, 3)), np.zeros((16, 3))
+        lo, hi = int(piece.of[d]), int(piece.of[d + 1])
+        for begin in range(lo, hi, chunk):
+            shift, late = slope / (bend + scoring.DAMPING), []
+            for i in range(begin, min(begin + chunk, hi)):
+                v = [int(slots[k][piece.slots[k][i]]) for k in range(3)]
+                gate = 0
+                for x in v[:2]:
+                    seen = float(scoring._ZEROS[x] + scoring._ONES[x])
+                    gate = 4 * gate + (seen > 0) + (seen >= 4) + (seen >= 32)
+                x = np.asarray([max(-8, min(8, math.log((scoring._ONES[s] + 0.4) / (scoring._ZEROS[s] + 0.4)))) for s in v])
+                sign = 1 if piece.y[i] else -1
+                total -= math.log10(1 + math.exp(-sign * max(-8, min(8, (weights[gate] + shift[gate]) @ x))))
+                wrong = 1 / (1 + math.exp(sign * (weights[gate] @ x)))
+                late.append((gate, sign * wrong * x, wrong * (1 - wrong) * abs(x) * abs(x).sum()))
+            for gate, g, b in late:
+                slope[gate] += g
+                bend[gate] += b
+        assert got[d] == pytest.approx(total, rel=1e-4, abs=1e-4)
 
 
 def test_codes_are_a_distribution():
