@@ -47,3 +47,17 @@ def write_frame(path: Path, df: DataFrame, as_float: Iterable[str] = ()) -> None
     to = {df.columns.index(c) for c in as_float}
     rows = ([float(v) if i in to and v is not None else v for i, v in enumerate(r)] for r in df.toLocalIterator(prefetchPartitions=True))
     write_rows(path, df.columns, rows)
+
+
+def shown(v: object, form: str = "") -> str:
+    """A value for reading: *form* is a number of decimals, ``%`` for a share, or empty."""
+    if v is None or v != v:
+        return "NA"
+    return f"{v:.1%}" if form == "%" else f"{float(v):.{form}f}" if form else str(v)
+
+
+def table(columns: Iterable[tuple[str, str, str]], rows: Iterable[dict]) -> list[str]:
+    """Lines of a Markdown table: *columns* have a heading, the key of their value, and its form."""
+    columns = list(columns)
+    lines = [[head for head, _, _ in columns], ["---"] * len(columns), *([shown(r.get(key), form) for _, key, form in columns] for r in rows)]
+    return [*(f"| {' | '.join(x)} |" for x in lines), ""]

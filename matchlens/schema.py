@@ -36,7 +36,7 @@ VERDICTS = {
 }
 DEFAULT_VERDICT = "MIXED"
 
-# ---- Columns ----------------------------------------------------------------------------
+# ---- Fixed columns of the tables --------------------------------------------------------
 METRIC_COLUMNS = tuple(m.lower() for m in METRICS)
 WEIGHTED = ("eret", "cret", "dret", "ehit", "chit", "delta_hit", "emfe", "cmfe", "dmfe", "emae", "cmae", "dmae")
 CONSISTENCY = ("dret", "delta_hit", "dmfe", "dmae")
@@ -68,15 +68,23 @@ NO_COHORT = "(no cohort)"
 
 BLOCKS = T.StructType([T.StructField("record_index", T.LongType()), T.StructField("source_file", T.StringType()), T.StructField("block", T.StringType())])
 
-
-def _columns(spec: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "l": T.LongType(), "d": T.DoubleType()}
-    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (x.split(":") for x in spec.split())])
-
-
-CHECKPOINTS = _columns(
-    "checkpoint:s captured_at_utc:s source_generated_at_utc:s source_report_sha256:s source_manifest_sha256:s pair_total:l markets:l asset_classes:l records_retained:l "
-    "dret:d delta_hit:d dmfe:d dmae:d positive_market_share:d median_market_dret:d maturity:s breadth:s classification:s research_verdict:s"
-)
-TREND = _columns("checkpoint:s captured_at_utc:s group:s pairs:l markets:l dret:d delta_hit:d positive_market_share:d maturity:s breadth:s classification:s")
+# ---- Fixed columns of the ledger, and where a report has their values -------------------
+#: column, kind (s text, l integer, d decimal), origin, name there.  Origins: a field of the
+#: manifest (count: how many its list has), a column of the overall or the group table, a digest
+#: of a file, the verdict of the report, and what the append itself knows.
+CHECKPOINT_SOURCES = (
+    ("checkpoint", "s", "append", "label"), ("captured_at_utc", "s", "append", "time"), ("source_generated_at_utc", "s", "manifest", "generated_at_utc"),
+    ("source_report_sha256", "s", "digest", "10_report.md"), ("source_manifest_sha256", "s", "digest", "11_manifest.json"), ("pair_total", "l", "manifest", "pair_total"),
+    ("markets", "l", "overall", "N_MARKETS"), ("asset_classes", "l", "count", "asset_classes"), ("records_retained", "l", "manifest", "records_retained"),
+    ("dret", "d", "overall", "PAIR_WEIGHTED_DRET"), ("delta_hit", "d", "overall", "PAIR_WEIGHTED_DELTA_HIT"), ("dmfe", "d", "overall", "PAIR_WEIGHTED_DMFE"), ("dmae", "d", "overall", "PAIR_WEIGHTED_DMAE"),
+    ("positive_market_share", "d", "overall", "DRET_POS_MARKET_SHARE"), ("median_market_dret", "d", "overall", "MEDIAN_MARKET_DRET"),
+    ("maturity", "s", "overall", "MATURITY"), ("breadth", "s", "overall", "BREADTH"), ("classification", "s", "overall", "CLASSIFICATION"), ("research_verdict", "s", "verdict", ""),
+)
+TREND_SOURCES = (
+    ("checkpoint", "s", "append", "label"), ("captured_at_utc", "s", "append", "time"), ("group", "s", "group", "GROUP"), ("pairs", "l", "group", "PAIR_TOTAL"), ("markets", "l", "group", "MARKETS"),
+    ("dret", "d", "group", "PAIR_WEIGHTED_DRET"), ("delta_hit", "d", "group", "PAIR_WEIGHTED_DELTA_HIT"), ("positive_market_share", "d", "group", "DRET_POS_MARKET_SHARE"),
+    ("maturity", "s", "group", "MATURITY"), ("breadth", "s", "group", "BREADTH"), ("classification", "s", "group", "CLASSIFICATION"),
+)
+_KINDS = {"s": T.StringType(), "l": T.LongType(), "d": T.DoubleType()}
+CHECKPOINTS, TREND = (T.StructType([T.StructField(name, _KINDS[kind]) for name, kind, _, _ in spec]) for spec in (CHECKPOINT_SOURCES, TREND_SOURCES))
 TREND_GROUPS = ("BAND", "DIV", "B_BAND", "B_DIV", "S_BAND", "S_DIV")

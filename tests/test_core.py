@@ -177,7 +177,7 @@ def test_report_and_ledger(spark, tmp_path):
     assert rows[1]["research_verdict"] == "MIXED" and rows[0]["research_verdict"] == "DESCRIPTIVE_POSITIVE"
     checkpoints, groups = ledger_frames(spark, store)
     assert checkpoints.count() == 2 and groups.count() == 16
-    assert "Latest checkpoint **NA**" in (store / "03_history.md").read_text() and "| BUY |" not in (store / "03_history.md").read_text()
+    assert "Latest checkpoint: **NA**" in (store / "03_history.md").read_text() and "| BUY |" not in (store / "03_history.md").read_text()
     (tmp_path / "rb" / "10_report.md").unlink()
     for path, label in ((tmp_path / "rb", "x"), (tmp_path / "ra", "  ")):
         with pytest.raises(ValueError):
