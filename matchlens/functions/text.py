@@ -28,7 +28,7 @@ def normalize_newlines(c: Column) -> Column:
 
 def to_double(c: Column) -> Column:
     """A decimal literal (underscores between digits allowed), inf or nan; else null."""
-    plain = F.regexp_replace(c, "_", "")
+    plain = F.translate(c, "_", "")
     named = F.regexp_replace(F.lower(plain), r"^[+-](?=nan)", "")
     return F.when(c.rlike(_FLOAT), plain.try_cast("double")).when(c.rlike(_NAMED), named.try_cast("double"))
 
@@ -37,7 +37,7 @@ def to_integer(c: Column) -> Column:
     """An integer literal, or a decimal one without a fraction; null otherwise, and beyond 64 bits."""
     number = to_double(c)
     whole = ~F.isnan(number) & (F.abs(number) < 9.2e18) & (number == F.floor(number))
-    return F.when(c.rlike(_INTEGER), F.regexp_replace(c, "_", "").try_cast("bigint")).when(whole, number.try_cast("bigint"))
+    return F.when(c.rlike(_INTEGER), F.translate(c, "_", "").try_cast("bigint")).when(whole, number.try_cast("bigint"))
 
 
 def shown(v: Column) -> Column:

@@ -14,14 +14,18 @@ _CELL = r"(?U)^([BS])_(BAND|DIV)_(T\d{2}-\d{2})$"
 
 def tokens(block: Column) -> Column:
     """The KEY=VALUE tokens of a block, in order: keys in upper case, values stripped."""
-    keys = F.transform(F.regexp_extract_all(block, F.lit(_TOKEN), F.lit(1)), F.upper)
-    values = F.transform(F.regexp_extract_all(block, F.lit(_TOKEN), F.lit(2)), strip)
-    return F.arrays_zip(keys.alias("k"), values.alias("v"))
+    whole = F.regexp_extract_all(block, F.lit(_TOKEN), F.lit(0))
 
+    def cut(token: Column) -> Column:
+        at = F.instr(token, F.lit("="))
+        return F.struct(F.upper(strip(F.substr(token, F.lit(2), at - 2))).alias("k"), strip(F.substr(token, at + 1)).alias("v"))
 
-def field(found: Column, key: str) -> Column:
-    """The value of the last token named *key* (null if there is none)."""
-    return F.try_element_at(F.filter(found, lambda t: t["k"] == key), F.lit(-1))["v"]
+    return F.transform(whole, cut)
+
+
+def field(keys: Column, values: Column, key: str) -> Column:
+    """The value of the last token named *key* (null if there is none); *keys* and *values* run from the last to the first."""
+    return F.get(values, F.array_position(keys, F.lit(key)).cast("int") - 1)
 
 
 def split_cell(cell: Column) -> dict[str, Column]:
@@ -68,8 +72,9 @@ def parse_records(blocks: DataFrame) -> DataFrame:
     A field that occurs twice has its last value; NA counts as present and null.  Records
     with errors keep what could be read, with parse_ok false.
     """
-    found = barrier(blocks, F.col("record_index"), F.col("source_file"), F.col("block"), tokens(F.col("block")).alias("_tokens"))
-    raw = barrier(found, F.col("record_index"), F.col("source_file"), strip(F.col("block")).alias("raw_text"), *(field(F.col("_tokens"), k).alias(f"_{k}") for k in S.FIELDS))
+    found = barrier(blocks, F.col("record_index"), F.col("source_file"), F.col("block"), F.reverse(tokens(F.col("block"))).alias("_tokens"))
+    keys, values = F.col("_tokens.k"), F.col("_tokens.v")
+    raw = barrier(found, F.col("record_index"), F.col("source_file"), strip(F.col("block")).alias("raw_text"), *(field(keys, values, k).alias(f"_{k}") for k in S.FIELDS))
     values = [F.when(F.upper(F.col(f"_{m}")) != "NA", to_double(F.col(f"_{m}"))).alias(m.lower()) for m in S.METRICS]
     typed = barrier(raw, *map(F.col, raw.columns), to_integer(F.col("_PAIR")).alias("_number"), *values)
     checked = barrier(typed, *map(F.col, typed.columns), _errors().alias("parse_errors"))

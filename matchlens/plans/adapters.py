@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlens import schema as S
+from matchlens.functions.text import normalize_newlines
 
 #: Metrics in thousandths, from the record's key i.
 _ORDERS = {
@@ -42,18 +43,35 @@ def order_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("o_orderkey % 7").cast("string").alias("PAIR"),
     )
     metrics = {m: F.when(F.expr("i % 7 = 0"), "NA").otherwise(_decimal(F.expr(e))) for m, e in _ORDERS.items()}
-    metrics["ERET"] = F.when(F.expr("i % 301 != 0 OR i % 7 = 0"), metrics["ERET"])
+    metrics["ERET"] = F.when(F.expr("i % 307 != 0 OR i % 7 = 0"), metrics["ERET"])
     metrics["CMAE"] = F.when(F.expr("i % 503 = 0"), "n/a?").otherwise(metrics["CMAE"])
     return rows.withColumns(metrics)
 
 
-def order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders as record blocks: half on one line, half a field a line, between noise."""
+def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as (i, text): half on one line, half a field a line with CRLF, between noise."""
     parts = F.concat_ws("|", *(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}="), F.col(k))) for k in S.FIELDS))
     one = F.concat(F.lit("T44C|"), parts, F.lit("\n[log] bar closed\n"))
     many = F.concat(F.lit("T44C\r\n| pair = 999\r\n|"), F.regexp_replace(parts, r"\|", " \r\n| "), F.lit("\r\n\r\nplot | not=a|field=either\r\n"))
-    text = F.regexp_replace(F.when(F.expr("i % 2 = 0"), one).otherwise(many), r"\r\n?", "\n")
-    return order_fields(spark, sf_dir).select(F.col("i").alias("record_index"), F.lit("orders").alias("source_file"), text.alias("block"))
+    return order_fields(spark, sf_dir).select("i", F.when(F.expr("i % 2 = 0"), one).otherwise(many).alias("text"))
+
+
+def order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as record blocks, by their keys."""
+    return order_texts(spark, sf_dir).select(F.col("i").alias("record_index"), F.lit("orders").alias("source_file"), normalize_newlines(F.col("text")).alias("block"))
+
+
+#: What is wrong with every fifth record of faulty_blocks(): the field and what stands in its place (null: nothing).
+FAULTS = (("SYM", None), ("CELL", "B_BAND_XX"), ("PAIR", "-4"), ("PAIR", "4.5"), ("DRET", "1,5"))
+
+
+def faulty_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as record blocks of which each has one fault, by the remainder of its key."""
+    rows = order_fields(spark, sf_dir).where("i % 7 <> 0 and i % 503 <> 0")
+    for k, (name, value) in enumerate(FAULTS):
+        rows = rows.withColumn(name, F.when(F.col("i") % len(FAULTS) == k, F.lit(value).cast("string")).otherwise(F.col(name)))
+    parts = F.concat_ws("|", *(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}="), F.col(k))) for k in S.FIELDS))
+    return rows.select(F.col("i").alias("record_index"), F.lit("orders").alias("source_file"), F.concat(F.lit("T44C|"), parts).alias("block"))
 
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:

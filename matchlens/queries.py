@@ -8,16 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import partial
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchlens import operators as O
 from matchlens import schema as S
 from matchlens.functions import labels
 from matchlens.plans import adapters
-from matchlens.plans.ledger import latest, trend
-from matchlens.sources.shared import written
+from matchlens.plans.ledger import appended, latest, trend
+from matchlens.sources import blocks_from_text, file_hashes, list_inputs, read_blocks
+from matchlens.sources.shared import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,12 +38,17 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _settled(parsed(spark, sf_dir))
+
+
+def _settled(found: DataFrame) -> DataFrame:
     # Dedupe reads the records three times.
-    return written(parsed(spark, sf_dir)).transform(O.dedupe_snapshots).transform(O.validate).transform(O.derive)
+    return written(found).transform(O.dedupe_snapshots).transform(O.validate).transform(O.derive)
 
 
 def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.eligible(records(spark, sf_dir))
+    # Aggregates need neither the text nor the fields as they were written.
+    return O.eligible(_settled(parsed(spark, sf_dir).drop("raw_text", "field_raw")))
 
 
 # ---- The independent SQL ------------------------------------------------------------------
@@ -63,7 +70,7 @@ WITH keys AS (
 raw AS (SELECT *, code || '_' || source || '_' || age_bucket AS cell, CASE code WHEN 'B' THEN 'BUY' ELSE 'SELL' END AS side, CAST(i % 7 AS BIGINT) AS pair,
          i % 503 <> 0 AS parse_ok, {", ".join(f"CASE WHEN i % 7 = 0 THEN NULL ELSE CAST({e} AS DOUBLE) / 1000 END AS v_{m}" for m, e in _THOUSANDTHS.items())} FROM keys),
 rec AS (SELECT * EXCLUDE ({", ".join(f"v_{m}" for m in _M)}), {", ".join(f"v_{m} AS {m}" for m in _M if m not in ("eret", "cmae"))},
-         CASE WHEN i % 301 = 0 THEN NULL ELSE v_eret END AS eret, CASE WHEN parse_ok THEN v_cmae END AS cmae FROM raw),
+         CASE WHEN i % 307 = 0 THEN NULL ELSE v_eret END AS eret, CASE WHEN parse_ok THEN v_cmae END AS cmae FROM raw),
 top AS (SELECT *, max(pair) OVER (PARTITION BY {_KEY}) AS most FROM rec WHERE parse_ok),
 win AS (SELECT *, {", ".join(f"first_value({m}) OVER w AS f_{m}" for m in _M)}, count(*) OVER (PARTITION BY {_KEY}) AS winners, max(i) OVER (PARTITION BY {_KEY}) AS chosen
         FROM top WHERE pair = most WINDOW w AS (PARTITION BY {_KEY} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
@@ -71,7 +78,7 @@ clash AS (SELECT {_KEY}, max(winners) AS winners, max(chosen) AS chosen,
           bool_or({" OR ".join(f"(({m} IS NULL) <> (f_{m} IS NULL)) OR coalesce(abs({m} - f_{m}) > 1e-9, FALSE)" for m in _M)}) AS conflict FROM win GROUP BY {_KEY}),
 ded AS (SELECT top.*, top.i <> chosen AS is_duplicate_dropped, pair = most AND conflict AS is_snapshot_conflict, top.i = chosen AS retained, winners, chosen FROM top JOIN clash USING ({_KEY})
         UNION ALL BY NAME SELECT *, FALSE AS is_duplicate_dropped, FALSE AS is_snapshot_conflict, FALSE AS retained FROM rec WHERE NOT parse_ok),
-val AS (SELECT *, parse_ok AND NOT (pair > 0 AND i % 301 = 0) AND coalesce(ehit BETWEEN 0 AND 100, TRUE) AND coalesce(chit BETWEEN 0 AND 100, TRUE) AS valid,
+val AS (SELECT *, parse_ok AND NOT (pair > 0 AND i % 307 = 0) AND coalesce(ehit BETWEEN 0 AND 100, TRUE) AND coalesce(chit BETWEEN 0 AND 100, TRUE) AS valid,
         CASE WHEN parse_ok THEN abs((eret - cret) - dret) <= 1e-3 END AS ret_delta_ok, CASE WHEN parse_ok THEN abs((emfe - cmfe) - dmfe) <= 1e-3 END AS mfe_delta_ok,
         CASE WHEN parse_ok THEN abs((emae - cmae) - dmae) <= 1e-3 END AS mae_delta_ok, ehit - chit AS delta_hit,
         {", ".join(f"CASE WHEN {m} > 1e-9 THEN 1 WHEN {m} < -1e-9 THEN -1 ELSE 0 END AS {m}_sign" for m in ("dret", "dmfe", "dmae"))} FROM ded),
@@ -160,8 +167,6 @@ def _top_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sort_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     cells = O.summarize_all(eligible(spark, sf_dir), ["CELL"])  # 16 rows
     return cells.select("GROUP", "PAIR_TOTAL", F.row_number().over(Window.orderBy(F.desc("PAIR_TOTAL"), "_order")).cast("long").alias("place"))
 
@@ -178,6 +183,8 @@ def _checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VERDICT = "CASE CLASSIFICATION " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.VERDICTS.items()) + " ELSE 'MIXED' END"
 _CHECKPOINTS = f"""SELECT "GROUP" AS checkpoint, PAIR_TOTAL AS pair_total, N_MARKETS AS markets, PAIR_WEIGHTED_DRET AS dret, DRET_POS_MARKET_SHARE AS positive_market_share, MEDIAN_MARKET_DRET AS median_market_dret,
   CLASSIFICATION AS classification, {_VERDICT} AS research_verdict FROM lv WHERE GROUP_LEVEL = 'COHORT'"""
+_LEDGER = f"""SELECT * EXCLUDE (n) REPLACE (CASE WHEN position = n - 1 THEN pair_total + 1000 ELSE pair_total END AS pair_total, CASE WHEN position = n - 1 THEN 2 * position ELSE position END AS position)
+  FROM (SELECT *, row_number() OVER (ORDER BY checkpoint) - 1 AS position, count(*) OVER () AS n FROM ({_CHECKPOINTS}))"""
 
 
 def _trend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,17 +204,50 @@ def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("GROUP", "PAIR_TOTAL", "MARKETS", "CLASSIFICATION", "SIDE", "SOURCE")
 
 
+def _local(spark: SparkSession) -> Path:
+    """A folder for input files: what reads them lists paths of this machine, as a command line does."""
+    at = Path(shared_dir(spark).removeprefix("file:"))
+    at.mkdir(parents=True)
+    return at
+
+
 def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    """The digests of files, here one for each of the 25 nations with its name in it."""
+    at = _local(spark)
+    for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").limit(25).collect():
+        (at / f"{r['n_nationkey']}.txt").write_text(r["n_name"], encoding="utf-8")
+    found = file_hashes(list_inputs([str(at)]))
+    return spark.createDataFrame([(Path(k).name, v) for k, v in found.items()], "file string, sha256 string")
+
+
+def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records from files of a directory, numbered over all of them: paths, scan, decoding, line ends, markers, tokens."""
+    at = _local(spark) / "logs"
+    texts = adapters.order_texts(spark, sf_dir)
+    texts.repartitionByRange(3, "i").sortWithinPartitions("i").select("text").write.text(f"file://{at}")
+    found = O.parse_records(read_blocks(spark, [str(at)]))
+    return rounded(found.select("record_index", F.element_at(F.split("source_file", "/"), -2).alias("folder"), "sym", "cohort", "cell", "pair", "cret"))
 
 
 def _noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as log noise with a record between: the tokens of the record survive."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
-    record = F.concat(F.lit("\nT44C\n|SYM=M"), (F.col("doc_id") % 10).cast("string"), F.lit("\n|CLASS=X|COHORT=C|CELL=B_DIV_T06-10\n|PAIR=\n|PAIR="), (F.col("doc_id") % 50).cast("string"), F.lit("\n|DRET=NA\n"))
-    clean = F.regexp_replace("text", r"\|", " ")
-    blocks = d.select(F.col("doc_id").alias("record_index"), F.lit("d").alias("source_file"), F.concat(F.lit("T44C"), F.element_at(F.split(F.concat("text", record, clean), "T44C"), -1)).alias("block"))
-    return O.parse_records(blocks).select("record_index", "sym", "pair", "parse_ok", F.col("field_present")["DRET"].alias("has_dret"), F.col("field_present")["ERET"].alias("has_eret"))
+    """Documents as log noise before and after a record, whose tokens survive."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    record = F.concat(F.lit("\r\nT44C\r\n|SYM=M"), (F.col("doc_id") % 10).cast("string"), F.lit("\r\n|CLASS=X|COHORT=C|CELL=B_DIV_T06-10\n|PAIR=\n|PAIR="), (F.col("doc_id") % 50).cast("string"), F.lit("\r|DRET=NA\n"))
+    noise = F.coalesce("text", F.lit(""))
+    texts = d.select(F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("source_file"), F.concat(noise, record, noise).alias("text"))
+    return O.parse_records(blocks_from_text(texts)).select("record_index", "source_file", "sym", "pair", "parse_ok", F.col("field_present")["DRET"].alias("has_dret"), F.col("field_present")["ERET"].alias("has_eret"))
+
+
+def _faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = O.parse_records(adapters.faulty_blocks(spark, sf_dir))
+    return found.select("record_index", "parse_ok", "sym", "cell", "pair", F.array_join("parse_errors", "; ").alias("errors"), F.col("field_present")["SYM"].alias("has_sym"))
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger of all cohorts but the last, to which all are appended with other counts: what it had stays."""
+    found = written(_checkpoints(spark, sf_dir).withColumn("position", F.row_number().over(Window.orderBy("checkpoint")).cast("long") - 1))  # a row for each cohort
+    last = found.agg(F.max("position")).first()[0]
+    return appended(found.where(F.col("position") < last), found.withColumn("pair_total", F.col("pair_total") + 1000))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,29 +285,41 @@ _VALUES = ", ".join(_M)
 _ROUNDED = ", ".join(_r(m) for m in _M)
 _ORDER_CELL = "CASE g " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(S.CELLS)) + " END"
 
+_FAULTS = "CASE i % 5 WHEN 0 THEN 'missing required field SYM' WHEN 1 THEN 'CELL ''B_BAND_XX'' does not match an expected pattern (e.g. B_BAND_T01-05)' WHEN 2 THEN 'PAIR is negative: -4' WHEN 3 THEN 'PAIR is not a valid integer: ''4.5''' ELSE 'DRET is not numeric or NA: ''1,5''' END"
+_NUMBER = lambda e: f"CASE WHEN i % 7 = 0 THEN 'NA' ELSE CASE WHEN ({e}) < 0 THEN '-' ELSE '' END || CAST(abs({e}) // 1000 AS VARCHAR) || '.' || lpad(CAST(abs({e}) % 1000 AS VARCHAR), 3, '0') END"
+_WRITTEN = {m: _NUMBER(e) for m, e in _THOUSANDTHS.items()}
+_WRITTEN["eret"] = f"CASE WHEN i % 307 <> 0 OR i % 7 = 0 THEN {_WRITTEN['eret']} END"
+_WRITTEN["cmae"] = f"CASE WHEN i % 503 = 0 THEN 'n/a?' ELSE {_WRITTEN['cmae']} END"
+_FIELDS = "concat_ws('|', 'SYM=' || sym, 'CLASS=' || asset_class, 'COHORT=' || cohort, 'CELL=' || cell, 'PAIR=' || pair, " + ", ".join(f"'{m.upper()}=' || ({e})" for m, e in _WRITTEN.items()) + ")"
+_RAW = f"CASE WHEN i % 2 = 0 THEN 'T44C|' || {_FIELDS} || chr(10) || '[log] bar closed' ELSE 'T44C' || chr(10) || '| pair = 999' || chr(10) || '|' || replace({_FIELDS}, '|', ' ' || chr(10) || '| ') || chr(10) || chr(10) || 'plot | not=a|field=either' END"
+_SNAPSHOT = """CASE WHEN pair < most THEN 'snapshot duplicate: PAIR=' || pair || ' superseded by a later/larger snapshot with PAIR=' || most || ' for the same COHORT/SYM/CLASS/CELL'
+          WHEN is_snapshot_conflict THEN 'snapshot conflict: ' || winners || ' records share PAIR=' || most || ' for the same COHORT/SYM/CLASS/CELL with differing metrics; retained the last encountered (record_index=' || chosen || ')' END"""
+_DELTAS = ", ".join(f"CASE WHEN NOT {k}_delta_ok THEN '{m} does not reconcile with event-control within tolerance (0.001) -- retained, flagged for audit only' END" for k, m in (("ret", "DRET"), ("mfe", "DMFE"), ("mae", "DMAE")))
+_WARNINGS = f"""CASE WHEN NOT parse_ok THEN 'CMAE is not numeric or NA: ''n/a?''' ELSE concat_ws('; ', {_SNAPSHOT}, {_DELTAS}, CASE WHEN pair > 0 AND i % 307 = 0 THEN 'ERET missing for a PAIR>0 record' END, CASE WHEN ehit > 100 THEN 'EHIT=150.0 outside expected range [0,100]' END) END"""
+
 #: name: (query, its SQL or None)
 CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "parse_roundtrip": (_select(parsed, "record_index", "sym", "asset_class", "cohort", "cell", "pair", *_M), _BASE + f"SELECT i AS record_index, sym, asset_class, cohort, cell, pair, {_ROUNDED} FROM rec"),
-    "parse_noise_multiline": (_noise, "SELECT doc_id AS record_index, 'M' || CAST(doc_id % 10 AS VARCHAR) AS sym, CAST(doc_id % 50 AS BIGINT) AS pair, TRUE AS parse_ok, TRUE AS has_dret, FALSE AS has_eret FROM documents WHERE text IS NOT NULL"),
+    "parse_noise_multiline": (_noise, "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS record_index, CAST(doc_id AS VARCHAR) AS source_file, 'M' || CAST(doc_id % 10 AS VARCHAR) AS sym, CAST(doc_id % 50 AS BIGINT) AS pair, TRUE AS parse_ok, TRUE AS has_dret, FALSE AS has_eret FROM documents"),
+    "path_scan": (_scan, _BASE + f"SELECT row_number() OVER (ORDER BY i) - 1 AS record_index, 'logs' AS folder, sym, cohort, cell, pair, {_r('cret')} FROM rec"),
+    "parse_identity_errors": (_faults, _BASE + f"SELECT i AS record_index, FALSE AS parse_ok, CASE WHEN i % 5 <> 0 THEN sym END AS sym, CASE WHEN i % 5 = 1 THEN 'B_BAND_XX' ELSE cell END AS cell, CASE WHEN i % 5 NOT IN (2, 3) THEN pair END AS pair, {_FAULTS} AS errors, i % 5 <> 0 AS has_sym FROM rec WHERE i % 7 <> 0 AND i % 503 <> 0"),
     "cell_decompose": (_select(parsed, "record_index", "side", "source", "age_bucket"), _BASE + "SELECT i AS record_index, side, source, age_bucket FROM rec"),
     "parse_errors": (_select(parsed, "record_index", "array_join(parse_errors, '; ') AS errors", where="not parse_ok"), _BASE + "SELECT i AS record_index, 'CMAE is not numeric or NA: ''n/a?''' AS errors FROM rec WHERE NOT parse_ok"),
-    "field_presence": (_select(parsed, "record_index", "field_present['ERET'] AS eret", "field_present['PAIR'] AS pair", "field_raw['CELL'] AS raw_cell"), _BASE + "SELECT i AS record_index, i % 301 <> 0 OR i % 7 = 0 AS eret, TRUE AS pair, cell AS raw_cell FROM rec"),
+    "field_presence": (_select(parsed, "record_index", "field_present['ERET'] AS eret", "field_present['PAIR'] AS pair", "field_raw['CELL'] AS raw_cell"), _BASE + "SELECT i AS record_index, i % 307 <> 0 OR i % 7 = 0 AS eret, TRUE AS pair, cell AS raw_cell FROM rec"),
     "dedupe_keep_max": (_select(records, "record_index", "pair", where="retained"), _BASE + "SELECT i AS record_index, pair FROM ded WHERE retained"),
     "dedupe_conflicts": (
         _select(records, "record_index", "is_duplicate_dropped", "is_snapshot_conflict", "get(filter(warnings, x -> x like 'snapshot%'), 0) AS message", where="is_duplicate_dropped or is_snapshot_conflict"),
-        _BASE + """SELECT i AS record_index, is_duplicate_dropped, is_snapshot_conflict, CASE WHEN pair < most THEN 'snapshot duplicate: PAIR=' || pair || ' superseded by a later/larger snapshot with PAIR=' || most || ' for the same COHORT/SYM/CLASS/CELL'
-          WHEN is_snapshot_conflict THEN 'snapshot conflict: ' || winners || ' records share PAIR=' || most || ' for the same COHORT/SYM/CLASS/CELL with differing metrics; retained the last encountered (record_index=' || chosen || ')' END AS message
-          FROM ded WHERE is_duplicate_dropped OR is_snapshot_conflict""",
+        _BASE + f"SELECT i AS record_index, is_duplicate_dropped, is_snapshot_conflict, {_SNAPSHOT} AS message FROM ded WHERE is_duplicate_dropped OR is_snapshot_conflict",
     ),
     "dedupe_before_validate": (_select(records, "record_index", "sym", "cell", "cohort", where="retained and not valid"), _BASE + "SELECT i AS record_index, sym, cell, cohort FROM val WHERE retained AND NOT valid"),
     "validate_arith": (_select(records, "record_index", "ret_delta_ok", "mfe_delta_ok", "mae_delta_ok"), _BASE + "SELECT i AS record_index, ret_delta_ok, mfe_delta_ok, mae_delta_ok FROM val"),
     "validate_range": (_select(records, "record_index", "ehit", "get(filter(warnings, x -> x like '%outside%'), 0) AS message", where="ehit > 100 and parse_ok"), _BASE + "SELECT i AS record_index, round(ehit, 6) AS ehit, 'EHIT=150.0 outside expected range [0,100]' AS message FROM val WHERE ehit > 100 AND parse_ok"),
-    "validate_missing": (_select(records, "record_index", "valid", where="exists(warnings, x -> x = 'ERET missing for a PAIR>0 record')"), _BASE + "SELECT i AS record_index, FALSE AS valid FROM val WHERE i % 301 = 0 AND pair > 0 AND parse_ok"),
+    "validate_missing": (_select(records, "record_index", "valid", where="exists(warnings, x -> x = 'ERET missing for a PAIR>0 record')"), _BASE + "SELECT i AS record_index, FALSE AS valid FROM val WHERE i % 307 = 0 AND pair > 0 AND parse_ok"),
     "derive_delta_signs": (_select(records, "record_index", "delta_hit", "dret_sign", "dmfe_sign", "dmae_sign"), _BASE + f"SELECT i AS record_index, {_r('delta_hit')}, dret_sign, dmfe_sign, dmae_sign FROM val"),
     "eligible_records": (_select(eligible, *S.ELIGIBLE_COLUMNS), _BASE + "SELECT " + ", ".join(_r(c) if c in S.WEIGHTED else c for c in S.ELIGIBLE_COLUMNS) + " FROM elig"),
     "audit_records": (
-        lambda s, d: O.audit(records(s, d)).drop("raw_text", "warnings"),
-        _BASE + "SELECT i AS record_index, 'orders' AS source_file, sym, asset_class, cohort, cell, pair, parse_ok, valid, retained, retained AND valid AS eligible, is_duplicate_dropped, is_snapshot_conflict, ret_delta_ok, mfe_delta_ok, mae_delta_ok, CASE WHEN parse_ok THEN '' ELSE 'CMAE is not numeric or NA: ''n/a?''' END AS parse_errors FROM val",
+        lambda s, d: O.audit(records(s, d)),
+        _BASE + f"SELECT i AS record_index, 'orders' AS source_file, sym, asset_class, cohort, cell, pair, parse_ok, valid, retained, retained AND valid AS eligible, is_duplicate_dropped, is_snapshot_conflict, ret_delta_ok, mfe_delta_ok, mae_delta_ok, CASE WHEN parse_ok THEN '' ELSE 'CMAE is not numeric or NA: ''n/a?''' END AS parse_errors, {_WARNINGS} AS warnings, {_RAW} AS raw_text FROM val",
     ),
     "integrity_counters": (
         _integrity,
@@ -298,10 +350,10 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
           CASE WHEN "GROUP" LIKE '%BAND' THEN 'BAND' WHEN "GROUP" LIKE '%DIV' THEN 'DIV' END AS SOURCE FROM lv WHERE GROUP_LEVEL IN ('SIDE_SOURCE', 'SOURCE', 'SIDE')""")),
     "verdict": (lambda s, d: _checkpoints(s, d).select("checkpoint", "classification", "research_verdict"), _from_levels(f"SELECT checkpoint, classification, research_verdict FROM ({_CHECKPOINTS})")),
     "asset_class_direction": (lambda s, d: rounded(O.class_direction(eligible(s, d))), _BASE + f"SELECT asset_class, CAST(sum(pair) AS BIGINT) AS pair_total, round({_CELL_SQL['w']}, 6) AS weighted_dret, CASE WHEN {_CELL_SQL['w']} > 1e-9 THEN 1 WHEN {_CELL_SQL['w']} < -1e-9 THEN -1 ELSE 0 END AS sign FROM elig GROUP BY asset_class"),
-    "ledger_append": (_checkpoints, _from_levels(_CHECKPOINTS)),
+    "ledger_append": (_ledger, _from_levels(_LEDGER)),
     "ledger_trend_filter": (_trend, _from_levels("""SELECT "GROUP" AS "group", PAIR_TOTAL AS pairs, MARKETS AS markets, PAIR_WEIGHTED_DRET AS dret, CLASSIFICATION AS classification FROM lv WHERE GROUP_LEVEL IN ('SIDE_SOURCE', 'SOURCE')""")),
-    "ledger_latest": (lambda s, d: latest(_checkpoints(s, d), "checkpoint"), _from_levels(f"SELECT * FROM ({_CHECKPOINTS}) ORDER BY checkpoint DESC LIMIT 1")),
-    "content_hash": (_hashes, "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents"),
+    "ledger_latest": (lambda s, d: latest(_ledger(s, d), "position"), _from_levels(f"SELECT * FROM ({_LEDGER}) ORDER BY position DESC LIMIT 1")),
+    "content_hash": (_hashes, "SELECT n_nationkey || '.txt' AS file, sha256(n_name) AS sha256 FROM nation"),
 }
 
 

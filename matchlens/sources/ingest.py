@@ -17,6 +17,8 @@ from matchlens.functions.text import decode, normalize_newlines
 
 STDIN = "-"
 STDIN_LABEL = "<stdin>"
+#: Ordinals of inputs whose counts of blocks are summed together.
+RANGE = 1 << 16
 
 
 def list_inputs(paths: Iterable[str]) -> list[str]:
@@ -54,15 +56,20 @@ def _own_reading(path: str) -> bool:
 def split_blocks(inputs: DataFrame) -> DataFrame:
     """Blocks of (ordinal, source_file, content): text from one marker up to the next.
 
-    record_index numbers them over all inputs in their order.  The window that offsets
-    the counts has one row per input, not per record.
+    record_index numbers them over all inputs in their order.  The offsets are sums over
+    ranges of RANGE ordinals and then within each, so that no window spans all inputs.
     """
     text = normalize_newlines(decode(F.col("content")))
     parts = inputs.select("ordinal", "source_file", F.posexplode(F.split(text, S.MARKER)).alias("pos", "rest")).where("pos > 0")
-    counts = inputs.select("ordinal", (F.size(F.split(text, S.MARKER)) - 1).cast("long").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parts.join(counts.select("ordinal", before.alias("_before")), "ordinal").select(
-        (F.col("_before") + F.col("pos") - 1).alias("record_index"), "source_file", F.concat(F.lit(S.MARKER), F.col("rest")).alias("block")
+    counts = inputs.select("ordinal", F.floor(F.col("ordinal") / RANGE).alias("_range"), (F.size(F.split(text, S.MARKER)) - 1).cast("long").alias("n"))
+
+    def above(w: Window) -> F.Column:
+        return F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    ranges = counts.groupBy("_range").agg(F.sum("n").alias("n")).select("_range", above(Window.orderBy("_range")).alias("_base"))
+    own = counts.select("ordinal", "_range", above(Window.partitionBy("_range").orderBy("ordinal")).alias("_before")).join(ranges, "_range")
+    return parts.join(own, "ordinal").select(
+        (F.col("_base") + F.col("_before") + F.col("pos") - 1).alias("record_index"), "source_file", F.concat(F.lit(S.MARKER), F.col("rest")).alias("block")
     )
 
 
