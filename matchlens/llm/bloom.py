@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import map_arrow, mix
+from matchlens.llm.common import fresh, map_arrow, mix
 
 MIN_BITS, MAX_BITS = 16, 28
 BITS_PER_KEY = 10
+#: Keys (8 bytes each) that are broadcast as they are.
+BROADCAST_KEYS = 1_000_000
 _SEEDS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))
 
 
@@ -73,3 +75,16 @@ def chosen(rows: DataFrame, column: str, known: Bloom, inside: bool) -> DataFram
 def semi(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """The *rows* whose *column* (long, no nulls) may be among *keys* (one column): all that are, and few others."""
     return chosen(rows, column, build(keys), True)
+
+
+def without(rows: DataFrame, column: str, keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """The *rows* whose *column* (long; null stays) is none of *keys* (one column of that name).
+
+    Up to *most* keys are broadcast; of more, a filter lets rows that are certainly none of
+    them pass, so that only the others are shuffled."""
+    if keys.count() <= most:
+        return rows.join(F.broadcast(keys), column, "left_anti")
+    (own,) = fresh(rows, "_filtered")
+    marked, known = rows.withColumn(own, F.coalesce(F.col(column), F.lit(0))), build(keys)
+    maybe = chosen(marked, own, known, True).join(keys.hint("merge"), column, "left_anti")
+    return chosen(marked, own, known, False).unionByName(maybe.select(*marked.columns)).select(*rows.columns)

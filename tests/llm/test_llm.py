@@ -481,6 +481,10 @@ def test_bloom(spark):
     f = bloom.build(keys)
     assert f.has(np.arange(3000, dtype=np.int64) * 7919).all() and f.has(np.arange(3000, dtype=np.int64) * 7919 + 1).mean() < 0.05
     assert not bloom.build(keys.limit(0)).has(np.arange(10, dtype=np.int64)).any()
+    rows = spark.createDataFrame([(i, f"r{i}") for i in range(500)] + [(None, "null"), (7919, "again")], "k long, _filtered string")
+    for most in (bloom.BROADCAST_KEYS, 10):
+        left = bloom.without(rows, "k", keys, most)
+        assert left.columns == rows.columns and sorted(map(str, (tuple(r) for r in left.collect()))) == sorted(map(str, [(i, f"r{i}") for i in range(1, 500)] + [(None, "null")]))
 
 
 def test_tool_calls(spark, tmp_path):
