@@ -66,5 +66,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """For the others, tests compare with brute force, but check the scores of op1 and op2 and the choices of op3 and op10 for properties only."""
+    """Tests hold the others against brute force; which documents the mix takes, and how many sequences
+    a packing has, against their targets and bounds."""
     return {"op4_chat_formatting": toolcalls.SQL, "op5_url_filters": urlfilter.SQL}

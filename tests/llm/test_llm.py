@@ -273,6 +273,58 @@ def test_language(docs, empty):
     assert {r["lang_pred"] for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def bayes(rows, bits=15):
+    """Multinomial naive Bayes over hashed 1- to 3-grams, one text at a time: {text: (language, posterior)}."""
+    full = (1 << 64) - 1
+
+    def spread(h):
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & full
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & full
+        return h ^ (h >> 31)
+
+    def grams(text):
+        points = [ord(c) for c in text.lower()]
+        for n in (1, 2, 3):
+            for i in range(len(points) - n + 1):
+                h = n
+                for x in points[i : i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + x) & full
+                yield spread(h) >> (64 - bits)
+
+    counts, texts = collections.defaultdict(collections.Counter), collections.Counter()
+    for d, text, lang, *_ in rows:
+        if lang is not None and zlib.crc32(("" if d is None else str(d)).encode()) % 4 != 2:
+            counts[lang].update(grams(text or ""))
+            texts[lang] += 1
+    out = {}
+    for _, text, *_ in rows:
+        if not any(map(str.isalpha, text or "")):
+            out[text] = ("und", 0.0)
+            continue
+        logs = {}
+        for lang in sorted(counts):
+            total = sum(counts[lang].values()) + 0.5 * (1 << bits)
+            logs[lang] = math.log((texts[lang] + 1) / (sum(texts.values()) + len(texts))) + sum(math.log((counts[lang][g] + 0.5) / total) for g in grams(text))
+        best = max(sorted(logs), key=logs.get)
+        out[text] = (best, 1 / sum(math.exp(x - logs[best]) for x in logs.values()))
+    return out
+
+
+def test_language_equals_naive_bayes(docs, monkeypatch):
+    want = bayes(corpus())
+    for r in langid.identify(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        lang, sure = want[r["text"]]
+        assert (r["lang_pred"], r["score"]) == (lang, pytest.approx(sure, abs=2e-3)), r["doc_id"]
+    # A matrix with fewer cells has wider columns; every language is still learned.
+    monkeypatch.setattr(langid, "MATRIX_CELLS", 1 << 11)
+    monkeypatch.setattr(langid, "HELD_LANGUAGES", 0)
+    want = bayes(corpus(), 10)
+    names, matrix = langid.train(docs.where(~langid.held_out(4, 2)))
+    assert names == ["de", "en"] and matrix.shape == ((1 << 10) + 1, 2)
+    for r in langid.predict(docs.select("doc_id", "text"), names, matrix).collect():
+        assert (r["lang_pred"], r["score"]) == (want[r["text"]][0], pytest.approx(want[r["text"]][1], abs=2e-3))
+
+
 def test_language_stage_keeps_what_no_language_fits_best(spark):
     """Three languages fit these texts equally; where none is labelled, texts with a letter stay, too."""
     rows = [(i, "the same words", "abc"[i % 3]) for i in range(30)] + [(100, None, "a"), (101, "12 !!", "b"), (102, "", "c")]
@@ -637,3 +689,66 @@ def test_captures_keep_their_columns_and_repeats(spark):
     assert len(got) == 5 and all(x[c] == f"{c}!" for x in got for c in ("kind", "pattern", "k", "_best", "_salt", "depth", "verdict", "n"))
     assert sorted((x["url"] or "", x["n_block"], x["blocked"]) for x in got) == [("", 0, False), ("http://a.x.org/", 1, True), ("http://a.x.org/", 1, True), ("http://other.net/", 0, False), ("http://x.org", 1, True)]
     assert urlfilter.judge(captures.limit(0), entries.limit(0)).count() == 0 and {x["n_block"] for x in urlfilter.judge(captures, entries.limit(0)).collect()} == {0}
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    """run() over documents without repeated doc_ids: who stays, what is left of the texts and every piece
+    are exact; copies meet the targets, and sequences are full but for little."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = list({d: (d, text, lang, source, n) for d, text, lang, source, n, _ in corpus() if d is not None}.values())
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    kept = {d: (text, source) for d, text, _, source, _ in rows if any(map(str.isalpha, text or ""))}
+    sets, to = {d: shingles(text, 5) for d, (text, _) in kept.items()}, {d: d for d in kept}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    to[a] = to[b] = min(to[a], to[b])
+    kept = {d: x for d, x in kept.items() if to[d] == d}
+    first, texts = {}, {}
+    for d in sorted(kept):
+        w = words_of(kept[d][0])
+        for i in range(len(w) - 49):
+            first.setdefault(tuple(w[i : i + 50]), d)
+    for d, (text, source) in kept.items():
+        w = words_of(text)
+        gone = {j for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < d for j in range(i, i + 50)}
+        if not gone or len(gone) < len(w):
+            texts[d] = (" ".join(x for j, x in enumerate(w) if j not in gone) if gone else text, source)
+    pieces = {}
+    for d, (text, _) in texts.items():
+        ids, at, pieces[d] = [*t.encode(text, add_special_tokens=False).ids, 2], 0, []
+        n = (len(ids) - 1) % 1024 + 1
+        while at < len(ids):
+            pieces[d].append((len(pieces[d]), at, n, zlib.crc32(np.asarray(ids[at : at + n], "<u4").tobytes())))
+            at, n = at + n, 1024
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    times = collections.Counter(r["doc_id"] for r in out if r["piece"] == 0)
+    assert set(times) <= set(pieces) and max(times.values()) <= 3 and len(pieces) < len(rows)
+    got = collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out)
+    assert got == collections.Counter({(d, *p): n for d, n in times.items() for p in pieces[d]})
+    size, total = {d: len(words_of(x)) for d, (x, _) in texts.items()}, collections.Counter()
+    for d, (_, source) in texts.items():
+        total[source] += size[d]
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    weight, open_ = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, set(order)
+    while True:
+        left = sum(total.values()) - sum(3 * total[s] for s in order if s not in open_)
+        target = {s: left * weight[s] / sum(weight[x] for x in open_) if s in open_ else 3 * total[s] for s in order}
+        if not (over := {s for s in open_ if target[s] > 3 * total[s]}):
+            break
+        open_ -= over
+    for s in order:
+        assert abs(sum(times[d] * size[d] for d, (_, x) in texts.items() if x == s) - target[s]) <= 0.05 * target[s]
+    bins = collections.defaultdict(list)
+    for r in out:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for b in bins.values():
+        b.sort()
+        assert b[0][0] == 0 and all(x + n == y for (x, n), (y, _) in pairwise(b)) and sum(b[-1]) <= 1024
+    assert len(bins) <= math.ceil(sum(r["length"] for r in out) / 1024) + 1
