@@ -13,6 +13,9 @@ from collections.abc import Callable, Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from matchlens.functions.text import shown as to_text
 
 
 def write_atomic(path: Path, write: Callable) -> None:
@@ -49,6 +52,19 @@ def write_frame(path: Path, df: DataFrame, as_float: Iterable[str] = ()) -> None
     write_rows(path, df.columns, rows)
 
 
+def write_large(path: Path, df: DataFrame, order: str, as_float: Iterable[str] = ()) -> None:
+    """*df* in the order of a column as a directory of CSV parts in the same dialect, written by the executors.
+
+    Each part has the header; their names are in order.  On a cluster *path* must be shared."""
+    columns = []
+    for c, kind in df.dtypes:
+        v = F.col(f"`{c}`").cast("double") if c in as_float else F.col(f"`{c}`")
+        v = F.initcap(v.cast("string")) if kind == "boolean" else to_text(v) if kind == "double" or c in as_float else v
+        columns.append(v.alias(c))
+    ordered = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).select(*columns)
+    ordered.write.mode("overwrite").option("header", True).option("lineSep", "\n").option("escape", '"').option("emptyValue", "").csv(path.absolute().as_uri())
+
+
 def shown(v: object, form: str = "") -> str:
     """A value for reading: *form* is a number of decimals, ``%`` for a share, or empty."""
     if v is None or v != v:

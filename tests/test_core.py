@@ -1,19 +1,26 @@
+import csv
+import io
 import json
 import math
+import random
+from pathlib import Path
 
+import duckdb
 import pytest
 from golden import A, B, FIELDS, RESULTS_A, RESULTS_B, record, text_a, text_b
 from pyspark.sql import functions as F
 
+from matchlens import cli
 from matchlens import operators as O
+from matchlens import queries as core
 from matchlens import schema as S
 from matchlens.functions import labels
 from matchlens.functions.text import decode, shown, strip, to_double, to_integer
-from matchlens.plans import append_checkpoint, process
+from matchlens.plans import append_checkpoint, process, report
 from matchlens.plans.ledger import find_verdict, ledger_frames, load
 from matchlens.plans.report import console_summary, write_report
-from matchlens.sources import list_inputs, read_blocks
-from matchlens.streaming import latest_snapshots
+from matchlens.sources import ingest, list_inputs, read_blocks, shared
+from matchlens.streaming import latest_snapshots, read_lines
 
 GOOD = dict(zip(FIELDS, "DOW EQUITY_INDEX T42-H20 B_BAND_T01-05 8 .5 .2 .3 60 50 .8 .5 .3 -.4 -.5 .1".split(), strict=True))
 
@@ -194,3 +201,137 @@ def test_streaming_keeps_the_largest(spark, tmp_path):
         assert [(r["pair"], r["dret"]) for r in spark.table("snapshots").collect()] == [(9, 0.2)]
     finally:
         q.stop()
+
+
+def test_large_files_are_split(spark, tmp_path, monkeypatch):
+    """Files that many tasks read give the blocks that one task gives, in the same order."""
+    monkeypatch.setattr(ingest, "RANGE", 2)
+    texts = ["noise before\r\n" + "".join(f"T44C|SYM=a{i}\r\n|PAIR={i}\n" + "x" * (i % 50) for i in range(300)), "T44C|SYM=first \u00e9 T44C", "T44C|SYM=b\r\nT44C|SYM=c", "no marker"]
+    for i, t in enumerate(texts):
+        (tmp_path / f"f {i}.txt").write_text(t, newline="")
+    paths = [str(tmp_path), str(tmp_path / "f 0.txt")]
+    want = [tuple(r) for r in read_blocks(spark, paths).orderBy("record_index").collect()]
+    assert [r[0] for r in want] == list(range(300 + 2 + 2 + 300)) and want[301][2] == "T44C"
+    monkeypatch.setattr(ingest, "LARGE_FILE", 20)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert [tuple(r) for r in read_blocks(spark, paths).orderBy("record_index").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_large_tables_by_executors(spark, tmp_path, monkeypatch):
+    """Directories of parts hold the rows of the files that the driver writes."""
+    (tmp_path / "a.txt").write_text(text_a() + "\nT44C|SYM=Q\"uote, d|PAIR=x")
+    for name in ("small", "large"):
+        write_report(spark, [str(tmp_path / "a.txt")], tmp_path / name, say=lambda _: None)
+        monkeypatch.setattr(report, "LARGE_ROWS", 1)
+    for table in ("01_records.csv", "02_audit.csv"):
+        with (tmp_path / "small" / table).open(newline="") as f:
+            want = list(csv.reader(f))
+        got = []
+        for part in sorted((tmp_path / "large" / table).glob("part-*")):
+            with part.open(newline="") as f:
+                rows = list(csv.reader(f))
+            assert not rows or rows[0] == want[0]
+            got += rows[1:]
+        assert got == want[1:], table
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "b.txt").write_text(text_b())
+    out, store = str(tmp_path / "out"), str(tmp_path / "store")
+    assert cli.run(["report", str(tmp_path / "b.txt"), "--out", out], spark) == 0
+    said = capsys.readouterr().out
+    assert "MIXED" in said and "matched pairs" in said and str(tmp_path / "out" / "10_report.md") in said
+    assert cli.run(["report", str(tmp_path / "b.txt"), "--out", out, "--quiet", "--sign-epsilon", "0.5"], spark) == 0
+    assert "MIXED" not in capsys.readouterr().out
+    for status in ("APPENDED", "UNCHANGED"):
+        assert cli.run(["ledger", out, "--label", "one", "--store", store]) == 0
+        assert capsys.readouterr().out == f"{status}: one (1 checkpoint(s) in history)\n"
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(text_b().encode())))
+    assert cli.run(["report", "-", "--out", str(tmp_path / "in"), "--quiet"], spark) == 0
+    assert json.loads((tmp_path / "in" / "11_manifest.json").read_text())["pair_total"] == 12
+    with pytest.raises(SystemExit):
+        cli.run(["report"])
+    with pytest.raises(FileNotFoundError):
+        cli.run(["report", str(tmp_path / "none")], spark)
+
+
+def test_smaller_snapshots_and_order_change_nothing(spark):
+    """Property: earlier, smaller exports of a cell leave every summary as it is, and so does the order of other cells."""
+    r = random.Random(3)
+
+    def summary(lines):
+        found = O.summarize_all(O.eligible(process(blocks(spark, [record(x) for x in lines])))).drop("_order").collect()
+        return sorted(str(x) for x in found)
+
+    want = summary(A)
+    smaller = []
+    for line in A[:8]:
+        f = line.split()
+        smaller.append(" ".join([*f[:4], str(max(int(f[4]) - 1, 0)), *f[5:]]) if int(f[4]) > 1 else line)
+    assert summary([*smaller, *A]) == want
+    # Of one cell the order counts, as the last of equal snapshots stays; cells may change places.
+    groups = {}
+    for line in A:
+        groups.setdefault(tuple(line.split()[:4]), []).append(line)
+    shuffled = list(groups.values())
+    r.shuffle(shuffled)
+    assert summary([x for g in shuffled for x in g]) == want
+
+
+def test_streamed_files(spark, tmp_path):
+    """Records on several lines, several a file; of equal ones the last of the file stays."""
+    (tmp_path / "in").mkdir()
+    q = latest_snapshots(read_lines(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("streamed").option("checkpointLocation", str(tmp_path / "_c"))
+    (tmp_path / "in" / "0.txt").write_text("noise\n" + block(DRET=".1").replace("|", "\r\n|") + "\n" + block(DRET=".2") + "\n" + block(PAIR="3", DRET=".9"), newline="")
+    q = q.start()
+    try:
+        q.processAllAvailable()
+        assert [(r["pair"], r["dret"]) for r in spark.table("streamed").collect()] == [(8, 0.2)]
+    finally:
+        q.stop()
+
+
+def test_empty_groups_and_defaults_in_the_ledger(spark, tmp_path):
+    (tmp_path / "a.txt").write_text(text_a())
+    write_report(spark, [str(tmp_path / "a.txt")], tmp_path / "r", say=lambda _: None)
+    at = tmp_path / "r" / "04_side_source_summary.csv"
+    lines = at.read_text().split("\n")
+    head = lines[0].split(",")
+    blank = ",".join("" if c in ("GROUP", "MATURITY", "PAIR_TOTAL") else x for c, x in zip(head, lines[1].split(","), strict=True))
+    bare = ",".join("" if c in ("MATURITY", "PAIR_TOTAL", "PAIR_WEIGHTED_DRET") else x for c, x in zip(head, lines[2].split(","), strict=True))
+    at.write_text("\n".join([lines[0], blank, bare, *lines[3:]]))
+    assert append_checkpoint(tmp_path / "r", tmp_path / "s", "1")["count"] == 1
+    rows = load(tmp_path / "s" / "02_source_trend.csv", S.TREND)
+    assert len(rows) == len([x for x in lines[1:] if x]) - 1 and (rows[0]["maturity"], rows[0]["pairs"], rows[0]["dret"]) == ("UNKNOWN", 0, None)
+    two = (tmp_path / "r" / "07_overall_summary.csv").read_text().rstrip("\n").split("\n")
+    (tmp_path / "r" / "07_overall_summary.csv").write_text("\n".join([*two, two[1]]) + "\n")
+    with pytest.raises(ValueError, match="exactly one"):
+        append_checkpoint(tmp_path / "r", tmp_path / "s", "2")
+
+
+def test_queries_match_their_sql(spark):
+    """Queries that stand for a path of the engine each have rows at the smallest size, and they are those of their SQL."""
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "orders", "events", "documents"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+
+    def plain(v):
+        return repr(round(v, 6) + 0.0) if isinstance(v, float) else str(v)
+
+    for name in ("path_scan", "parse_noise_multiline", "parse_identity_errors", "field_presence", "validate_missing", "audit_records", "ledger_append", "content_hash", "all_levels"):
+        want, got = con.sql(core.oracle_sql()[name]), core.queries()[name](spark, sf)
+        at = sorted(got.columns)
+        assert at == sorted(want.columns), name
+        rows = sorted([plain(r[want.columns.index(c)]) for c in at] for r in want.fetchall())
+        assert rows and rows == sorted([plain(r[c]) for c in at] for r in got.collect()), name
+
+
+def test_tables_are_cleared(spark):
+    path = shared.shared_dir(spark)
+    spark.range(3).write.parquet(path)
+    assert Path(path.removeprefix("file:")).exists() and shared.clear_tables(spark) > 0 and not Path(path.removeprefix("file:")).exists()
