@@ -73,8 +73,9 @@ def parse_records(blocks: DataFrame) -> DataFrame:
     with errors keep what could be read, with parse_ok false.
     """
     found = barrier(blocks, F.col("record_index"), F.col("source_file"), F.col("block"), F.reverse(tokens(F.col("block"))).alias("_tokens"))
-    keys, values = F.col("_tokens.k"), F.col("_tokens.v")
-    raw = barrier(found, F.col("record_index"), F.col("source_file"), strip(F.col("block")).alias("raw_text"), *(field(keys, values, k).alias(f"_{k}") for k in S.FIELDS))
+    # Keys and values are taken out of the tokens once, not for each field.
+    cut = barrier(found, F.col("record_index"), F.col("source_file"), strip(F.col("block")).alias("raw_text"), F.col("_tokens.k").alias("_keys"), F.col("_tokens.v").alias("_values"))
+    raw = barrier(cut, F.col("record_index"), F.col("source_file"), F.col("raw_text"), *(field(F.col("_keys"), F.col("_values"), k).alias(f"_{k}") for k in S.FIELDS))
     values = [F.when(F.upper(F.col(f"_{m}")) != "NA", to_double(F.col(f"_{m}"))).alias(m.lower()) for m in S.METRICS]
     typed = barrier(raw, *map(F.col, raw.columns), to_integer(F.col("_PAIR")).alias("_number"), *values)
     checked = barrier(typed, *map(F.col, typed.columns), _errors().alias("parse_errors"))
