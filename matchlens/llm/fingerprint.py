@@ -23,7 +23,7 @@ from matchlens.llm.common import fresh
 
 K = 3
 #: Selections of two k-mers, each in an order of its own, and the hashes that they come from.
-SEEDS, CIRCLES = 64, 4
+SEEDS, CIRCLES = 64, 8
 #: Bits of a signature.
 SIGNATURE = (1 << 24) - 1
 #: Low bits of a packed value hold the position (a text has fewer words than that), the rest the hash.
