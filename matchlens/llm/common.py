@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from matchlens.sources.shared import shared_dir
 
 #: Pieces of text handled at once in a Python worker; a longer document is its own piece.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes hashed at once: the power tables of that length stay in the CPU's cache.
 SPAN = 1 << 15
 
@@ -68,7 +68,7 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
 
 
 #: Bytes of rows that Spark sends to a Python worker at once, where the session sets no other limit.
-BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 
 def release() -> None:
