@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from itertools import pairwise
 
@@ -16,6 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchlens.llm import bloom, fingerprint, jaccard, langid, mixing, packing, queries, repetition, scoring, substring, toolcalls, urlfilter
+from matchlens.llm.common import CLEAN_KEY, stored
 from matchlens.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -89,6 +91,30 @@ def test_jaccard(docs, empty, monkeypatch, k, num, small):
         assert jaccard.link(empty).count() == 0
 
 
+@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 60)])
+def test_jaccard_in_parts_is_the_same(docs, monkeypatch, k, num):
+    """Tiles, blocks and pairs of blocks that go through one part after the other link what they link at once."""
+    whole = sorted(map(str, jaccard.link(docs, k, num, 100).collect()))
+    for name, value in (("BLOCK_SHINGLES", 300), ("TILE_ROWS", 2), ("ANCHORS", 1), ("PART_HASHES", 10), ("PART_SHINGLES", 10), ("PARTS", 5)):
+        monkeypatch.setattr(jaccard, name, value)
+    assert sorted(map(str, jaccard.link(docs, k, num, 100).collect())) == whole
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_stored_tables_leave_no_shuffles(spark):
+    before, conf = _shuffle_files(spark), spark.conf.get(CLEAN_KEY)
+    rows = stored(spark.range(20_000).select("id", F.xxhash64("id").alias("h")).repartition(4, "h"))
+    deadline = time.time() + 20
+    while _shuffle_files(spark) - before and time.time() < deadline:  # Spark deletes them in the background
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before
+    assert rows.count() == 20_000 and spark.conf.get(CLEAN_KEY) == conf
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randint(0, 150), r.randint(0, 150)) for _ in range(110)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
