@@ -100,6 +100,15 @@ def test_jaccard_in_parts_is_the_same(docs, monkeypatch, k, num):
     assert sorted(map(str, jaccard.link(docs, k, num, 100).collect())) == whole
 
 
+def test_near_duplicates_in_parts_are_the_same(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    whole = sorted(map(str, corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()))
+    for name in ("PART_HASHES", "PART_SHINGLES"):
+        monkeypatch.setattr(jaccard, name, 10)
+    assert sorted(map(str, corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())) == whole
+
+
 def _shuffle_files(spark):
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
     return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
