@@ -132,17 +132,31 @@ def summarize_all(df: DataFrame, levels: Iterable[str] = S.LEVELS) -> DataFrame:
     return _finish(out.unionByName(absent, allowMissingColumns=True))
 
 
-def summarize(df: DataFrame, level: str) -> DataFrame:
-    """The table of one level: the summary columns and then its own, in the level's order."""
+def _own(level: str) -> dict[str, Column]:
+    """The columns that the table of one level has besides the summary columns."""
     group, code = F.col("GROUP"), F.split("GROUP", "_")
     side = F.when(code[0] == "B", S.SIDES["B"]).otherwise(S.SIDES["S"])
-    own = {
-        "CELL": [group.alias("CELL"), side.alias("SIDE"), F.get(code, F.lit(1)).alias("SOURCE"), F.get(code, F.lit(2)).alias("AGE_BUCKET")],
-        "SIDE_SOURCE": [side.alias("SIDE"), F.get(code, F.lit(1)).alias("SOURCE")], "SOURCE": [group.alias("SOURCE")], "SIDE": [group.alias("SIDE")],
-        "ASSET_CLASS": [group.alias("ASSET_CLASS")], "MARKET": [group.alias("SYM"), F.col("_class").alias("ASSET_CLASS")],
-        "COHORT": [F.when(group != S.NO_COHORT, group).alias("COHORT")],
+    return {
+        "CELL": {"CELL": group, "SIDE": side, "SOURCE": F.get(code, F.lit(1)), "AGE_BUCKET": F.get(code, F.lit(2))},
+        "SIDE_SOURCE": {"SIDE": side, "SOURCE": F.get(code, F.lit(1))}, "SOURCE": {"SOURCE": group}, "SIDE": {"SIDE": group},
+        "ASSET_CLASS": {"ASSET_CLASS": group}, "MARKET": {"SYM": group, "ASSET_CLASS": F.col("_class")},
+        "COHORT": {"COHORT": F.when(group != S.NO_COHORT, group)},
     }[level]
-    return summarize_all(df, [level]).orderBy("_order", "GROUP").select(*S.SUMMARY_COLUMNS, *own)
+
+
+def summarize(df: DataFrame, level: str) -> DataFrame:
+    """The table of one level: the summary columns and then its own, in the level's order."""
+    return summarize_all(df, [level]).orderBy("_order", "GROUP").select(*S.SUMMARY_COLUMNS, *(c.alias(name) for name, c in _own(level).items()))
+
+
+def summarize_union(df: DataFrame, levels: Iterable[str], own: Iterable[str]) -> DataFrame:
+    """The tables of *levels* one after the other, from one pass: the summary columns and
+    the columns named *own*, null for levels that have none of that name."""
+    levels = list(levels)
+    columns = {x: _own(x) for x in levels}
+    named = [F.coalesce(*(F.when(F.col("GROUP_LEVEL") == x, columns[x][name]) for x in levels if name in columns[x])).alias(name) for name in own]
+    place = F.array_position(F.array(*map(F.lit, levels)), F.col("GROUP_LEVEL"))
+    return summarize_all(df, levels).orderBy(place, "_order", "GROUP").select(*S.SUMMARY_COLUMNS, *named)
 
 
 def class_direction(df: DataFrame) -> DataFrame:

@@ -335,3 +335,19 @@ def test_tables_are_cleared(spark):
     path = shared.shared_dir(spark)
     spark.range(3).write.parquet(path)
     assert Path(path.removeprefix("file:")).exists() and shared.clear_tables(spark) > 0 and not Path(path.removeprefix("file:")).exists()
+
+
+def test_union_of_levels_is_one_small_plan(spark, blocks_dir="/root/testdata/sf0.001"):
+    """The union equals the levels' own tables, in their order, without a plan for each of them."""
+    from matchlens import queries as Q
+
+    got = Q.queries()["side_source_union"](spark, blocks_dir)
+    df = Q.eligible(spark, blocks_dir).persist()
+    want = []
+    for level in ("SIDE_SOURCE", "SOURCE", "SIDE"):
+        for r in O.summarize(df, level).collect():
+            r = r.asDict()
+            want.append((r["GROUP"], r["PAIR_TOTAL"], r["MARKETS"], r["CLASSIFICATION"], r.get("SIDE"), r.get("SOURCE")))
+    df.unpersist()
+    assert [tuple(r) for r in got.collect()] == want and len(want) == 8
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") < 10
