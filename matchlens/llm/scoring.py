@@ -10,11 +10,12 @@ binary decision of a code is predicted from hashed contexts:
 
 A predictor's slot holds how often the decision was 0 and 1 in the training texts.  The
 logits are mixed with weights that a gate (how much two of the slots have seen) selects.
-The weights of every gate are learned: Newton steps, whose sums are distributed, fit them
-to a bounded sample of training texts that are not in the slots.  Along a document each gate's weights are refined: before every chunk of decisions
+The weights of every gate are learned from all training texts: each of two halves of them
+meets the slots of the other half, and Newton steps fit the weights to the sums of both by
+gate and cell of logits, which one pass gathers.  Along a document each gate's weights are refined: before every chunk of decisions
 they take one more, damped step by all earlier decisions of that document.
 
-Counts and codes are distributed sums over every training text, slots over all but those.  What is broadcast
+Counts, codes and slots are distributed sums over every training text.  What is broadcast
 (words with codes, slots) grows as the square root of the training tokens, as vocabularies
 do; all other words get their counts by a join.
 """
@@ -46,9 +47,10 @@ PIECE_BYTES = 1 << 17
 #: Decisions between two refinements of a document's weights, as a power of two, and the weight of what was learned against them.
 CHUNK_SHIFT, DAMPING = 7, 5000.0
 STEEPEST = 8.0
-#: Training texts that fit the gates' weights (about so many, one in LEAST_PART at most; the
-#: others fill the slots), Newton steps, and how firmly they hold to the weights they start from.
-WEIGHT_TEXTS, LEAST_PART, WEIGHT_STEPS, WEIGHT_PRIOR = 4096, 16, 3, 50.0
+#: Newton steps for the gates' weights, and how firmly they hold to the weights they start from.
+WEIGHT_STEPS, WEIGHT_PRIOR = 3, 50.0
+#: Logits are summed up in so many cells of equal width each.
+LOGIT_CELLS = 33
 START = (0.4, 0.5, 0.15)
 GATES = 16
 
@@ -406,8 +408,8 @@ def _count(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _slots(docs: DataFrame, codes) -> list[np.ndarray]:
-    """The packed slots from the decisions of all training texts."""
+def _slot_counts(docs: DataFrame, codes) -> DataFrame:
+    """(chunk, seen) of the decisions of *docs*, for each task that met any."""
     base = np.concatenate([[0], np.cumsum([1 << b for b in codes.value.slot_bits])])
     width = 1 << CHUNK_BITS
 
@@ -425,7 +427,13 @@ def _slots(docs: DataFrame, codes) -> list[np.ndarray]:
                 if len(used):
                     yield pa.RecordBatch.from_arrays([pa.array([lo >> CHUNK_BITS], pa.int32()), pa.array([_squeezed(used, pairs[used])], pa.binary())], ["chunk", "seen"])
 
-    tables = map_arrow(docs, run, "chunk int, seen binary")
+    return map_arrow(docs, run, "chunk int, seen binary")
+
+
+def _slots(tables: DataFrame, codes) -> list[np.ndarray]:
+    """The packed slots from _slot_counts()."""
+    base = np.concatenate([[0], np.cumsum([1 << b for b in codes.value.slot_bits])])
+    width = 1 << CHUNK_BITS
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sums = None, np.zeros((width, 2), np.int64)
@@ -468,36 +476,45 @@ def _unsqueezed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(flat[:n]), flat[n:].reshape(2, n).T
 
 
-def _learn_weights(docs: DataFrame, codes, slots) -> np.ndarray:
-    """Weights of each gate: damped Newton steps on the log loss of the sample *docs*, a job each."""
+def _logit_sums(docs: DataFrame, codes, slots) -> DataFrame:
+    """(cell, n, x0, x1, x2): for the decisions of *docs*, by gate and cell of their three logits, how many and the sums of each logit."""
+    size = GATES * LOGIT_CELLS**3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((4, size))
+        for _, piece, _ in _parts(batches, codes.value):
+            x, cell = _inputs(piece, slots.value)
+            for v in x:
+                cell = cell * LOGIT_CELLS + np.rint((v + np.float32(STEEPEST)) * np.float32((LOGIT_CELLS - 1) / (2 * STEEPEST))).astype(np.int64)
+            out[0] += np.bincount(cell, minlength=size)
+            for k, v in enumerate(x):
+                out[1 + k] += np.bincount(cell, weights=v, minlength=size)
+        used = np.flatnonzero(out[0])
+        for lo in range(0, len(used), 1 << 16):
+            u = used[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(u), *(pa.array(v[u]) for v in out)], ["cell", "n", "x0", "x1", "x2"])
+
+    return map_arrow(docs, run, "cell long, n double, x0 double, x1 double, x2 double")
+
+
+def _learn_weights(sums: DataFrame) -> np.ndarray:
+    """Weights of each gate: damped Newton steps on the log loss of all decisions in *sums* (at most GATES * LOGIT_CELLS**3 rows)."""
+    found = sums.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "x0", "x1", "x2"))).toArrow()
+    gate = found.column("cell").to_numpy() // LOGIT_CELLS**3
+    n = found.column("n").to_numpy()
+    # A cell's decisions count with its mean logits.
+    x = np.stack([found.column(c).to_numpy() for c in ("x0", "x1", "x2")], 1) / np.maximum(n, 1)[:, None]
     start = np.tile(np.asarray(START), (GATES, 1))
     weights = start.copy()
-
-    def sums(weights: np.ndarray):
-        own = weights.astype(np.float32)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((GATES, 9))
-            for _, piece, _ in _parts(batches, codes.value):
-                x, gate = _inputs(piece, slots.value)
-                wrong = 1 / (1 + np.exp(np.clip(_mixed(x, gate, own), -STEEPEST, STEEPEST)))
-                bend = wrong * (1 - wrong)
-                columns = [wrong * v for v in x] + [bend * x[i] * x[j] for i in range(3) for j in range(i, 3)]
-                for k, v in enumerate(columns):
-                    out[:, k] += np.bincount(gate, weights=v, minlength=GATES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(GATES), 9)), pa.array(np.tile(np.arange(9), GATES)), pa.array(out.reshape(-1))], ["gate", "k", "v"])
-
-        return run
-
     for _ in range(WEIGHT_STEPS):
-        found = np.zeros((GATES, 9))
-        for r in map_arrow(docs, sums(weights), "gate long, k long, v double").groupBy("gate", "k").agg(F.sum("v").alias("v")).collect():
-            found[r["gate"], r["k"]] = r["v"]
-        bend = np.zeros((GATES, 3, 3))
-        for k, (i, j) in enumerate((i, j) for i in range(3) for j in range(i, 3)):
-            bend[:, i, j] = bend[:, j, i] = found[:, 3 + k]
+        wrong = 1 / (1 + np.exp(np.clip((weights[gate] * x).sum(1), -STEEPEST, STEEPEST)))
+        bend, slope = np.zeros((GATES, 3, 3)), np.zeros((GATES, 3))
+        for i in range(3):
+            slope[:, i] = np.bincount(gate, weights=n * wrong * x[:, i], minlength=GATES)
+            for j in range(3):
+                bend[:, i, j] = np.bincount(gate, weights=n * wrong * (1 - wrong) * x[:, i] * x[:, j], minlength=GATES)
         bend += WEIGHT_PRIOR * np.eye(3)
-        slope = found[:, :3] - WEIGHT_PRIOR * (weights - start)
+        slope -= WEIGHT_PRIOR * (weights - start)
         weights = np.clip(weights + np.linalg.solve(bend, slope[:, :, None])[:, :, 0], -4, 4)
     return weights
 
@@ -533,11 +550,17 @@ def score(docs: DataFrame, test: Column | None = None) -> DataFrame:
     n = top.column("n").to_numpy().astype(np.int64)
     hashes = np.ascontiguousarray(top.column("key").to_numpy().astype(np.int64)).view(np.uint64)
     codes = sc.broadcast(make_codes(hashes, n, int(total - n.sum()), np.asarray([own.get((_KIND_BYTE, b), 0) for b in range(256)], np.int64), n_docs))
-    # The texts that teach the weights are not in the slots, which would know them otherwise.
-    apart = F.pmod(F.xxhash64("doc_id"), F.lit(max(LEAST_PART, n_docs // WEIGHT_TEXTS))) == 0
-    slots = sc.broadcast(_slots(rows.where(~F.col("held_out") & ~apart).select("text"), codes))
-    sample = rows.where(~F.col("held_out") & apart).select("text")
-    weights = sc.broadcast(_learn_weights(sample, codes, slots))
+    # Each half's weights are taught with the slots of the other, which do not know its texts.
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    halves = [rows.where(~F.col("held_out") & (half == k)).select("text") for k in range(2)]
+    tables = [stored(_slot_counts(h, codes)) for h in halves]
+    sums = []
+    for own, other in zip(halves, reversed(tables), strict=True):
+        known = sc.broadcast(_slots(other, codes))
+        sums.append(stored(_logit_sums(own, codes, known)))
+        known.destroy()
+    weights = sc.broadcast(_learn_weights(sums[0].unionByName(sums[1])))
+    slots = sc.broadcast(_slots(tables[0].unionByName(tables[1]), codes))
     all_tokens, vocabulary = int(total + n_docs), int(distinct + (n_docs > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

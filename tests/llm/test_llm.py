@@ -429,6 +429,21 @@ def test_scoring(docs, empty, monkeypatch):
     assert scoring.score(empty).count() == 0
 
 
+def test_every_training_text_teaches_the_weights(spark, monkeypatch):
+    """The decisions that the weights are fitted to are those of all training texts, not of a sample."""
+    seen, learn = [], scoring._learn_weights
+
+    def watched(sums):
+        seen.append(sums.agg(F.sum("n")).first()[0])
+        return learn(sums)
+
+    monkeypatch.setattr(scoring, "_learn_weights", watched)
+    rows = spark.createDataFrame([(i, "x") for i in range(64)], "doc_id long, text string")
+    got = scoring.score(rows, F.col("doc_id") < 0).collect()
+    # A word with a code and the end: as many decisions in each text.
+    assert len(got) == 64 and seen[0] > 0 and seen[0] % 64 == 0 and seen[0] >= 2 * 64
+
+
 def test_model_grows_with_the_training_texts():
     """Every word met twice of those given has a code; slots and context words double as the tokens quadruple."""
     sizes = {}
