@@ -25,9 +25,11 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,8 @@ CODED_WORDS, SLOT_BITS, RECENT, BEFORE = 1 << 17, (21, 21, 18), 256, 2048
 CHUNK_BITS = 16
 #: Bytes of text handled at once; a longer document goes through in parts that end with a word.
 PIECE_BYTES = 1 << 17
+#: Consecutive decisions of a code whose slots by one context lie together, in 2**TOGETHER places.
+TOGETHER = 4
 #: Decisions between two refinements of a document's weights, as a power of two, and the weight of what was learned against them.
 CHUNK_SHIFT, DAMPING = 7, 5000.0
 STEEPEST = 8.0
@@ -76,6 +80,18 @@ class Codes:
     recent: int
     before: int
 
+    @cached_property
+    def buckets(self) -> tuple[int, np.ndarray]:
+        """A shift that leaves the first bits of a hash, and for each such value where its hashes begin."""
+        bits = max(1, len(self.hashes).bit_length())
+        shift = 64 - bits
+        return shift, np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(shift))
+
+    @cached_property
+    def entries(self) -> np.ndarray:
+        """For each word what a token of it needs: code, length (6 bits), and whether it is a context as the word before and as the last frequent word."""
+        return self.code << 8 | self.length.astype(np.int64) << 2 | (self.ranks < self.before) << 1 | (self.ranks < self.recent)
+
 
 def doublings(tokens: int) -> int:
     """How often the model's least size is doubled for so many training tokens."""
@@ -151,33 +167,78 @@ class Carry:
 
 @dataclass
 class Piece:
-    """The decisions of a piece of documents, or of a part of a long one."""
+    """The decisions of a piece of documents, or of a part of a long one.
 
-    y: np.ndarray
-    slots: list[np.ndarray]
+    They lie by their depth in a code, and symbols by falling length of their codes: those
+    that reach a depth are the first so many (*reach*), and nothing is repeated or gathered."""
+
+    bits: np.ndarray
+    hits: list[np.ndarray]
+    begin: np.ndarray
+    doc: np.ndarray
+    reach: list[int]
     of: np.ndarray
-    words: np.ndarray
-    known: np.ndarray
-    counted: np.ndarray
-    rare: np.ndarray
-    rare_of: np.ndarray
-    n_bytes: np.ndarray
     carry: Carry | None
+    words: np.ndarray | None = None
+    known: np.ndarray | None = None
+    counted: np.ndarray | None = None
+    rare: np.ndarray | None = None
+    rare_of: np.ndarray | None = None
+    n_bytes: np.ndarray | None = None
+
+    def by_depth(self, first: np.ndarray) -> np.ndarray:
+        """For each decision the number of its symbol's first decision, given by symbols, plus its depth."""
+        out = np.empty(len(self.bits), first.dtype)
+        lo = 0
+        for d, m in enumerate(self.reach):
+            np.add(first[:m], d, out=out[lo : lo + m])
+            lo += m
+        return out
+
+    def _ordered(self, values: np.ndarray) -> np.ndarray:
+        out = np.empty_like(values)
+        out[self.by_depth(self.begin)] = values
+        return out
+
+    @property
+    def y(self) -> np.ndarray:
+        """What was decided, in the order of the text."""
+        return self._ordered(self.bits)
+
+    @property
+    def slots(self) -> list[np.ndarray]:
+        """The slots that predict it, in the order of the text."""
+        return [self._ordered(s) for s in self.hits]
+
+
+#: Bytes in lower case, and what names a rare word: by its last byte and 256 times the one before.
+_LOWER_BYTE = _LOWER.astype(np.uint8)
+_TAILS = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1 << 20))
 
 
 def _lookup(c: Codes, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(c.hashes):
         return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    at = np.searchsorted(c.hashes, h)
-    at[at == len(c.hashes)] = 0
-    return at, c.hashes[at] == h
-
-
-def decisions(c: Codes, data: np.ndarray, offsets: np.ndarray, carry: Carry | None = None, last: bool = True) -> Piece:
-    """The binary decisions of whole documents and the slots that predict them, in order.
+    shift, begin = c.buckets
+    at = np.take(begin, (h >> np.uint64(shift)).astype(np.intp))
+    last = len(c.hashes) - 1
+    np.minimum(at, last, out=at)
+    there = np.take(c.hashes, at)
+    # The few that lie behind others of their bucket go on.
+    late = np.flatnonzero(there < h)
+    while len(late):
+        late = late[at[late] < last]
+        at[late] += 1
+        there[late] = c.hashes[at[late]]
+        late = late[there[late] < h[late]]
+    return at, there == h
+
+
+def decisions(c: Codes, data: np.ndarray, offsets: np.ndarray, carry: Carry | None = None, last: bool = True, tally: bool = True) -> Piece:
+    """The binary decisions of whole documents and the slots that predict them.
 
     Of a part of one document *carry* is what the part before left, and *last* says whether
-    its end belongs to it."""
+    its end belongs to it.  Without *tally* the documents' words are not counted."""
     starts, ends, of = find_words(data, offsets)
     h = hash_words(data, starts, ends, lower=True)
     n_docs, n_words = len(offsets) - 1, len(h)
@@ -187,23 +248,26 @@ def decisions(c: Codes, data: np.ndarray, offsets: np.ndarray, carry: Carry | No
     token_of = of + np.arange(n_docs + 1) * last
     word_at = np.arange(n_words) + doc * last
     tokens = n_words + n_docs * last
-    size = np.where(found, c.length[at] if len(c.hashes) else 0, 0)
+    entry = np.take(c.entries, at) if len(c.hashes) else np.zeros(n_words, np.int64)
+    entry[~found] = 0
+    size = entry >> 2 & 63
+    coded = size > 0
     code, length = np.full(tokens, c.end[0]), np.full(tokens, c.end[1])
-    code[word_at] = np.where(size > 0, c.code[at] if len(c.hashes) else 0, c.escape[0])
-    length[word_at] = np.where(size > 0, size, c.escape[1])
+    code[word_at] = np.where(coded, entry >> 8, c.escape[0])
+    length[word_at] = np.where(coded, size, c.escape[1])
     # Contexts of tokens.
-    rank = np.full(tokens, 1 << 40)
-    rank[word_at] = np.where(found, c.ranks[at] if len(c.hashes) else 0, 1 << 40)
+    frequent = np.zeros(tokens, bool)
+    frequent[word_at] = entry & 1 > 0
     name = np.zeros(tokens, np.uint64)
-    low = _LOWER[data].astype(np.uint64) if len(data) else np.zeros(1, np.uint64)
+    low = np.take(_LOWER_BYTE, data) if len(data) else np.zeros(1, np.uint8)
     final_byte = low[ends - 1]
-    tail = mix(final_byte + np.uint64(256) * np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], np.uint64(0)) + np.uint64(1 << 20))
-    name[word_at] = np.where(rank[word_at] < c.before, h, tail)
+    tail = np.take(_TAILS, np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], 0).astype(np.intp) * 256 + final_byte)
+    name[word_at] = np.where(entry & 2 > 0, h, tail)
     mark = np.zeros(tokens, np.uint64)
     mark[word_at] = np.where(final_byte == ord("."), 1, np.where(final_byte == ord(","), 2, 3))
     first = np.repeat(token_of[:-1], np.diff(token_of))
     position = np.arange(tokens)
-    recent = np.maximum.accumulate(np.where(rank < c.recent, position, -1))
+    recent = np.maximum.accumulate(np.where(frequent, position, -1))
     recent = np.concatenate([[-1], recent[:-1]]) if tokens else recent
     whole = np.zeros(tokens, np.uint64)
     whole[word_at] = h
@@ -213,54 +277,76 @@ def decisions(c: Codes, data: np.ndarray, offsets: np.ndarray, carry: Carry | No
     b[head], p[head] = (carry.name, carry.mark) if carry else (0, 0)
     left_over = None
     if not last or carry:
-        seen = np.flatnonzero(rank < c.recent)
-        before = carry or Carry(np.uint64(0), np.uint64(0), np.uint64(0), np.zeros((6, GATES)))
+        seen = np.flatnonzero(frequent)
+        before = carry or Carry(np.uint64(0), np.uint64(0), np.uint64(0), np.zeros((3, GATES), np.complex128))
         left_over = Carry(whole[seen[-1]] if len(seen) else before.recent, name[-1] if tokens else before.name, mark[-1] if tokens else before.mark, before.sums)
     # Symbols: a token's own, then the bytes of a spelled word and their end.
-    spell = np.flatnonzero(size == 0)
-    spelled_bytes = np.where(size == 0, ends - starts, 0)
+    spell = np.flatnonzero(~coded)
     more = np.zeros(tokens, np.int64)
-    more[word_at] = np.where(size == 0, spelled_bytes + 1, 0)
+    count = (ends - starts)[spell] + 1
+    more[word_at[spell]] = count
     symbol_of = np.concatenate([[0], np.cumsum(more + 1)])
     n = int(symbol_of[-1])
     own = symbol_of[:-1]
     codes, lengths = np.empty(n, np.int64), np.empty(n, np.int64)
-    contexts = [np.empty(n, np.uint64) for _ in range(3)]
+    contexts = [np.empty(n, np.uint32) for _ in range(3)]
     codes[own], lengths[own] = code, length
     for to, x in zip(contexts, (a, b, p), strict=True):
-        to[own] = mix(x + np.uint64(11))
+        to[own] = mix(x + np.uint64(11)) >> np.uint64(32)
     if len(spell):
-        count = (ends - starts)[spell] + 1
         total = np.cumsum(count)
         nth = np.arange(total[-1]) - np.repeat(total - count, count)
-        begin = np.repeat(starts[spell], count)
-        final = nth == np.repeat(count - 1, count)
-        source = np.minimum(begin + nth, len(low) - 1)
-        symbol = np.where(final, 256, low[source].astype(np.int64))
+        source = np.repeat(starts[spell], count) + nth
+        letter = np.take(low, source, mode="clip").astype(np.int64)
+        letter[total - 1] = 256
         place = np.repeat(own[word_at[spell]] + 1, count) + nth
-        codes[place], lengths[place] = c.byte_code[symbol], c.byte_length[symbol]
-        before = [np.where(nth >= k, low[np.maximum(begin + nth - k, 0)] + np.uint64(1), np.uint64(0)) for k in (1, 2, 3, 4)]
-        one = before[0] + np.uint64(1 << 40)
-        two = one + (before[1] << np.uint64(9))
+        codes[place], lengths[place] = c.byte_code[letter], c.byte_length[letter]
+        before = []
+        for k in (1, 2, 3, 4):
+            v = np.zeros(len(nth), np.uint64)
+            v[k:] = letter[:-k] + 1
+            v[nth < k] = 0
+            before.append(v)
+        two = before[0] + np.uint64(1 << 40) + (before[1] << np.uint64(9))
         three = two + (before[2] << np.uint64(18))
         four = three + (before[3] << np.uint64(27))
         for to, x in zip(contexts, (three, four, two), strict=True):
-            to[place] = mix(x)
+            to[place] = mix(x) >> np.uint64(32)
     # Decisions: the bits of each symbol's code; a node is the code's prefix with a leading one.
     step = np.cumsum(lengths)
-    kind = np.int32 if int(lengths.max(initial=0)) < 31 else np.int64
-    tagged = np.repeat((codes | (np.int64(1) << lengths)).astype(kind), lengths)
-    left = np.repeat((step - 1).astype(np.int32), lengths) - np.arange(int(step[-1]) if n else 0, dtype=np.int32)
-    y = ((tagged >> left) & 1).astype(np.uint8)
-    node = (tagged >> (left + 1)).astype(np.uint32) * np.uint32(0x9E3779B1)
-    slots = [((np.repeat((x >> np.uint64(32)).astype(np.uint32), lengths) + node) * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits) for x, bits in zip(contexts, c.slot_bits, strict=True)]
+    longest = int(lengths.max(initial=0))
+    order = np.argsort((longest - lengths).astype(np.uint8), kind="stable")
+    kind = np.uint32 if longest < 32 else np.uint64
+    tagged = ((codes | (np.int64(1) << lengths)) << (longest - lengths)).astype(kind)[order]
+    contexts = [x[order] for x in contexts]
+    reach = (n - np.cumsum(np.bincount(lengths, minlength=longest + 1))[:longest]).tolist()
+    bits, hits = np.empty(sum(reach), np.uint8), [np.empty(sum(reach), np.uint32) for _ in range(3)]
+    lo = 0
+    for d, m in enumerate(reach):
+        tag = tagged[:m]
+        bits[lo : lo + m] = (tag >> kind(longest - 1 - d)) & kind(1)
+        node = (tag >> kind(longest - d)).astype(np.uint32, copy=False)
+        nth = d % TOGETHER
+        if not nth:
+            node *= np.uint32(0x9E3779B1)
+            near = [((x[:m] + node) * np.uint32(0x85EBCA77)) >> np.uint32(32 - width) for x, width in zip(contexts, c.slot_bits, strict=True)]
+            node = np.uint32(1)
+        else:
+            node &= np.uint32((1 << nth) - 1)
+            node |= np.uint32(1 << nth)
+        for x, to in zip(near, hits, strict=True):
+            np.bitwise_xor(x[:m], node, out=to[lo : lo + m])
+        lo += m
     decisions_of = np.concatenate([[0], step])[symbol_of[token_of]]
-    rare = ~found
-    logs = np.where(found, np.log10((c.counts[at] if len(c.hashes) else np.zeros(n_words)) + 1.0), 0.0)
-    return Piece(
-        y, slots, decisions_of, np.diff(of), np.bincount(doc[found], minlength=n_docs), np.bincount(doc, weights=logs, minlength=n_docs), h[rare], doc[rare],
-        np.bincount(doc, weights=ends - starts + 1, minlength=n_docs) + last, left_over,
-    )
+    doc_of = np.repeat(np.arange(n_docs), np.diff(symbol_of[token_of]))
+    piece = Piece(bits, hits, (step - lengths)[order], doc_of[order], reach, decisions_of, left_over)
+    if tally:
+        rare = ~found
+        logs = np.where(found, np.log10((c.counts[at] if len(c.hashes) else np.zeros(n_words)) + 1.0), 0.0)
+        piece.words, piece.known, piece.counted = np.diff(of), np.bincount(doc[found], minlength=n_docs), np.bincount(doc, weights=logs, minlength=n_docs)
+        piece.rare, piece.rare_of = h[rare], doc[rare]
+        piece.n_bytes = np.bincount(doc, weights=ends - starts + 1, minlength=n_docs) + last
+    return piece
 
 
 #: A count in one byte: exact up to 64, then in steps of an eighth of a doubling.
@@ -284,82 +370,93 @@ _ZEROS, _ONES = _COUNTS[np.arange(1 << 16) & 255], _COUNTS[np.arange(1 << 16) >>
 _LOGITS, _SEEN = _slot_tables(_ZEROS, _ONES)
 
 
-def _inputs(piece: Piece, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The logits of each decision, their signs turned towards what was decided, and its gate."""
-    packed = [np.take(t, s) for t, s in zip(slots, piece.slots, strict=True)]
-    x = [np.take(_LOGITS, v) for v in packed]
-    sign = piece.y.astype(np.float32)
-    sign *= 2
-    sign -= 1
-    for v in x:
-        v *= sign
-    gate = np.take(_SEEN, packed[0]) << np.uint8(2)
-    gate |= np.take(_SEEN, packed[1])
-    return x, gate.astype(np.intp)
+#: What scoring needs of a packed slot in 16 bits: STEPS times its logit, rounded so that the last two bits are how much it has seen.
+STEPS = 4092
+_VALUES = (np.rint((_LOGITS.astype(np.float64) * STEPS - _SEEN) / 4) * 4 + _SEEN).astype(np.int16)
+#: What learning weights needs, in 8 bits: four times the cell of its logit, and how much it has seen.
+_CELLS = (np.rint((_LOGITS + STEEPEST) * ((LOGIT_CELLS - 1) / (2 * STEEPEST))).astype(np.uint8) << 2) | _SEEN
 
 
-def _mixed(x: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    z = np.take(weights[:, 0], gate) * x[0]
-    for k in (1, 2):
-        z += np.take(weights[:, k], gate) * x[k]
-    return z
+def slot_values(slots: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.take(_VALUES, t) for t in slots]
 
 
 def mixed_log10(piece: Piece, slots: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """log10 probability of each document by packed slots."""
+    return mixed_values_log10(piece, slot_values(slots), weights)
+
+
+def mixed_values_log10(piece: Piece, values: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
     """log10 probability of each document: the online pass over its decisions.
 
-    With every sign turned towards the decision taken, its probability is that of a one.
     Gradients and curvatures are those at the learned weights, so a gate's weights before
     a chunk follow from sums over the document's chunks before it."""
     n = len(piece.of) - 1
-    x, gate = _inputs(piece, slots)
-    if not len(gate):
+    if not len(piece.bits):
         return np.zeros(n)
-    z = _mixed(x, gate, weights.astype(np.float32))
-    wrong = 1 / (1 + np.exp(z))
-    count = np.diff(piece.of)
-    chunks = -(-count >> CHUNK_SHIFT)
-    first = np.concatenate([[0], np.cumsum(chunks)])
+    found = [np.take(t, s.astype(np.intp), mode="clip") for t, s in zip(values, piece.hits, strict=True)]
     # A row for each chunk of a document, in it a cell for each gate.
-    cell = np.arange(len(gate)) - np.repeat(piece.of[:-1], count)
-    cell >>= CHUNK_SHIFT
-    cell += np.repeat(first[:-1], count)
-    cell *= GATES
-    cell += gate
+    chunks = -(-np.diff(piece.of) >> CHUNK_SHIFT)
+    first = np.concatenate([[0], np.cumsum(chunks)])
     rows = int(first[-1])
+    row = piece.by_depth(((first[:-1] << CHUNK_SHIFT) - piece.of[:-1])[piece.doc] + piece.begin)
+    row >>= CHUNK_SHIFT
+    cell = ((found[0] & 3) << 2) | (found[1] & 3)
+    gate = cell.astype(np.intp)
+    cell = row * GATES
+    cell += gate
+    x = [v.astype(np.float32) for v in found]
+    learned = (weights / STEPS).astype(np.float32)
+    z = _weighted(x, [np.ascontiguousarray(learned[:, k]) for k in range(3)], gate)
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    p = np.reciprocal(z, out=z)
+    wrong = piece.bits - p
+    p -= p * p
     size = [np.abs(v) for v in x]
-    total = size[0] + size[1] + size[2]
-    total *= wrong * (1 - wrong)
+    p *= size[0] + size[1] + size[2]
     head = np.repeat(first[:-1], chunks)
+    tables, pair = [], np.empty(len(p), np.complex64)
     for k in range(3):
-        # A step by the row sums of the curvature never passes the optimum by much.
-        step = []
-        for i, v in ((k, wrong * x[k]), (3 + k, total * size[k])):
-            own = np.bincount(cell, weights=v, minlength=rows * GATES).reshape(rows, GATES)
-            before = np.cumsum(own, 0) - own
-            before -= before[head]
-            if piece.carry is not None:
-                before += piece.carry.sums[i]
-                piece.carry.sums[i] += own.sum(0)
-            step.append(before)
-        shift = (step[0] / (step[1] + DAMPING)).astype(np.float32)
-        x[k] *= np.take(shift.reshape(-1), cell)
-    z += x[0]
-    z += x[1]
-    z += x[2]
+        # Gradient and curvature go as one number; a step by the row sums of the curvature never passes the optimum by much.
+        np.multiply(wrong, x[k], out=pair.real)
+        np.multiply(p, size[k], out=pair.imag)
+        own = np.zeros(rows * GATES, np.complex64)
+        np.add.at(own, cell, pair)
+        own = own.reshape(rows, GATES)
+        before = np.cumsum(own, 0, dtype=np.complex128) - own
+        before -= np.take(before, head, 0)
+        if piece.carry is not None:
+            before += piece.carry.sums[k]
+            piece.carry.sums[k] += own.sum(0)
+        shift = before.real / (before.imag + DAMPING * STEPS**2)
+        tables.append((shift + weights[:, k] / STEPS).astype(np.float32).reshape(-1))
+    z = _weighted(x, tables, cell)
     np.clip(z, -STEEPEST, STEEPEST, out=z)
-    np.negative(z, out=z)
+    z *= np.float32(1) - np.float32(2) * piece.bits
     np.exp(z, out=z)
     z += 1
-    bits = np.concatenate([[0], np.cumsum(np.log(z, out=z), dtype=np.float64)])
-    return (bits[piece.of[:-1]] - bits[piece.of[1:]]) / np.log(10)
+    lost = np.concatenate([[0], np.cumsum(np.bincount(row, weights=np.log(z, out=z), minlength=rows))])[first]
+    return (lost[:-1] - lost[1:]) / np.log(10)
+
 
+def _weighted(x: list[np.ndarray], tables: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Sum of the three inputs, each times its table's value at *at*."""
+    z = np.take(tables[0], at, mode="clip")
+    z *= x[0]
+    for k in (1, 2):
+        w = np.take(tables[k], at, mode="clip")
+        w *= x[k]
+        z += w
+    return z
 
-def _parts(batches: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[tuple[pa.RecordBatch, Piece, bool]]:
+
+def _parts(batches: Iterator[pa.RecordBatch], codes: Codes, tally: bool = True) -> Iterator[tuple[pa.RecordBatch, Piece, bool]]:
     """Rows, their decisions, and whether that is all of them (else more parts of the one row follow)."""
     for rows, data, offsets in slices(batches, most=PIECE_BYTES):
         if rows.num_rows > 1 or len(data) <= 2 * PIECE_BYTES:
-            yield rows, decisions(codes, data, offsets), True
+            yield rows, decisions(codes, data, offsets, tally=tally), True
             continue
         at, carry = 0, None
         while at < len(data) or carry is None:
@@ -372,7 +469,7 @@ def _parts(batches: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[tuple[pa
                     break
                 to = min(to + PIECE_BYTES, len(data))
             done = to >= len(data)
-            piece = decisions(codes, data[at:to], np.asarray([0, to - at]), carry, done)
+            piece = decisions(codes, data[at:to], np.asarray([0, to - at]), carry, done, tally)
             at, carry = to, piece.carry
             yield rows, piece, done
             if done:
@@ -408,26 +505,77 @@ def _count(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _slot_counts(docs: DataFrame, codes) -> DataFrame:
-    """(chunk, seen) of the decisions of *docs*, for each task that met any."""
+def _gathered(docs: DataFrame, codes, known=None, count: bool = True) -> DataFrame:
+    """What one pass over *docs* learns: with *count*, (chunk, seen) of their decisions for each
+    task that met any; with *known* (cells of slots, and each cell's mean logit), (cell, n, x0,
+    x1, x2) by gate and cell of the decisions' three logits, how many and the sums of each logit."""
     base = np.concatenate([[0], np.cumsum([1 << b for b in codes.value.slot_bits])])
-    width = 1 << CHUNK_BITS
+    width, schema = 1 << CHUNK_BITS, pa.schema([("chunk", pa.int32()), ("seen", pa.binary()), ("cell", pa.int64()), *((c, pa.float64()) for c in ("n", "x0", "x1", "x2"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(2 * int(base[-1]), np.int32)
+        seen = np.zeros(2 * int(base[-1]) if count else 0, np.int32)
+        met = np.zeros(1 << 23 if known else 0, np.int32)
         any_rows = False
-        for _, piece, _ in _parts(batches, codes.value):
+        for _, piece, _ in _parts(batches, codes.value, tally=False):
             any_rows = True
-            for k, s in enumerate(piece.slots):
-                np.add.at(seen[2 * base[k] : 2 * base[k + 1]], (s.astype(np.int32) << np.int32(1)) + piece.y, np.int32(1))
-        if any_rows:
-            for lo in range(0, int(base[-1]), width):
-                pairs = seen[2 * lo : 2 * (lo + width)].reshape(-1, 2)
-                used = np.flatnonzero(pairs.any(1))
-                if len(used):
-                    yield pa.RecordBatch.from_arrays([pa.array([lo >> CHUNK_BITS], pa.int32()), pa.array([_squeezed(used, pairs[used])], pa.binary())], ["chunk", "seen"])
-
-    return map_arrow(docs, run, "chunk int, seen binary")
+            for k, s in enumerate(piece.hits if count else []):
+                at = s.astype(np.intp)
+                at <<= 1
+                at += piece.bits
+                np.add.at(seen[2 * base[k] : 2 * base[k + 1]], at, np.int32(1))
+            if known:
+                np.add.at(met, _cells_met(piece, known.value[0]), np.int32(1))
+        for lo in range(0, int(base[-1]) if any_rows and count else 0, width):
+            pairs = seen[2 * lo : 2 * (lo + width)].reshape(-1, 2)
+            used = np.flatnonzero(pairs.any(1))
+            if len(used):
+                yield pa.RecordBatch.from_arrays([pa.array([lo >> CHUNK_BITS], pa.int32()), pa.array([_squeezed(used, pairs[used])], pa.binary()), *(pa.nulls(1, f.type) for f in list(schema)[2:])], schema=schema)
+        if known and any_rows:
+            cell, *sums = _logit_sums(met, known.value[1])
+            for lo in range(0, len(cell), 1 << 16):
+                own = [pa.array(v[lo : lo + (1 << 16)]) for v in (cell, *sums)]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(own[0]), f.type) for f in list(schema)[:2]), *own], schema=schema)
+
+    return map_arrow(docs, run, "chunk int, seen binary, cell long, n double, x0 double, x1 double, x2 double")
+
+
+def _cells_met(piece: Piece, cells: list[np.ndarray]) -> np.ndarray:
+    """For each decision a number below 2**23: what it decided, then from above its three slots' cells (the third without how much it has seen)."""
+    first, second, third = (np.take(t, s.astype(np.intp), mode="clip") for t, s in zip(cells, piece.hits, strict=True))
+    out = first.astype(np.int32)
+    out <<= 8
+    out |= second
+    out <<= 6
+    out |= third >> np.uint8(2)
+    out <<= 1
+    out |= piece.bits
+    return out.astype(np.intp)
+
+
+def _logit_sums(met: np.ndarray, means: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(cell, n, x0, x1, x2) of the numbers of _cells_met(), signs turned towards what was decided; a decision counts with its cells' mean logits."""
+    at = np.flatnonzero(met)
+    n = met[at].astype(np.float64)
+    first, second, third = at >> 15, (at >> 7) & 255, (at >> 1) & 63
+    cell = (first & 3) << 2 | (second & 3)
+    sign = 2.0 * (at & 1) - 1
+    x = []
+    for k, v in enumerate((first, second, third << 2)):
+        cell = cell * LOGIT_CELLS + np.where(sign > 0, v >> 2, LOGIT_CELLS - 1 - (v >> 2))
+        x.append(means[k][v] * sign * n)
+    keys, back = np.unique(cell, return_inverse=True)
+    return keys, *(np.bincount(back, weights=v, minlength=len(keys)) for v in (n, *x))
+
+
+def slot_cells(slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The cells of packed slots, and for each of them the mean logit of its slots, by how often those were met."""
+    cells, means = [np.take(_CELLS, t) for t in slots], np.zeros((3, 256))
+    for k, (t, c) in enumerate(zip(slots, cells, strict=True)):
+        # The third predictor's cells are told apart by their logits alone.
+        c = c & np.uint8(252) if k == 2 else c
+        met = np.bincount(c, weights=np.take(_ZEROS + _ONES, t), minlength=256)
+        means[k] = np.bincount(c, weights=np.take((_ZEROS + _ONES) * _LOGITS, t), minlength=256) / np.maximum(met, 1)
+    return cells, means
 
 
 def _slots(tables: DataFrame, codes) -> list[np.ndarray]:
@@ -476,27 +624,6 @@ def _unsqueezed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(flat[:n]), flat[n:].reshape(2, n).T
 
 
-def _logit_sums(docs: DataFrame, codes, slots) -> DataFrame:
-    """(cell, n, x0, x1, x2): for the decisions of *docs*, by gate and cell of their three logits, how many and the sums of each logit."""
-    size = GATES * LOGIT_CELLS**3
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((4, size))
-        for _, piece, _ in _parts(batches, codes.value):
-            x, cell = _inputs(piece, slots.value)
-            for v in x:
-                cell = cell * LOGIT_CELLS + np.rint((v + np.float32(STEEPEST)) * np.float32((LOGIT_CELLS - 1) / (2 * STEEPEST))).astype(np.int64)
-            out[0] += np.bincount(cell, minlength=size)
-            for k, v in enumerate(x):
-                out[1 + k] += np.bincount(cell, weights=v, minlength=size)
-        used = np.flatnonzero(out[0])
-        for lo in range(0, len(used), 1 << 16):
-            u = used[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(u), *(pa.array(v[u]) for v in out)], ["cell", "n", "x0", "x1", "x2"])
-
-    return map_arrow(docs, run, "cell long, n double, x0 double, x1 double, x2 double")
-
-
 def _learn_weights(sums: DataFrame) -> np.ndarray:
     """Weights of each gate: damped Newton steps on the log loss of all decisions in *sums* (at most GATES * LOGIT_CELLS**3 rows)."""
     found = sums.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "x0", "x1", "x2"))).toArrow()
@@ -553,36 +680,48 @@ def score(docs: DataFrame, test: Column | None = None) -> DataFrame:
     # Each half's weights are taught with the slots of the other, which do not know its texts.
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     halves = [rows.where(~F.col("held_out") & (half == k)).select("text") for k in range(2)]
-    tables = [stored(_slot_counts(h, codes)) for h in halves]
-    sums = []
-    for own, other in zip(halves, reversed(tables), strict=True):
-        known = sc.broadcast(_slots(other, codes))
-        sums.append(stored(_logit_sums(own, codes, known)))
+    gathered, known = [stored(_gathered(halves[0], codes))], None
+    # The second half is counted as it meets the slots of the first.
+    for own, count in ((halves[1], True), (halves[0], False)):
+        known = sc.broadcast(slot_cells(_slots(gathered[-1].where("chunk is not null").select("chunk", "seen"), codes)))
+        gathered.append(stored(_gathered(own, codes, known, count)))
         known.destroy()
-    weights = sc.broadcast(_learn_weights(sums[0].unionByName(sums[1])))
-    slots = sc.broadcast(_slots(tables[0].unionByName(tables[1]), codes))
+    tables, sums = (
+        a.unionByName(b) for a, b in (
+            [g.where("chunk is not null").select("chunk", "seen") for g in gathered[:2]],
+            [g.where("cell is not null").drop("chunk", "seen") for g in gathered[1:]],
+        )
+    )
+    weights = sc.broadcast(_learn_weights(sums))
+    values = sc.broadcast(slot_values(_slots(tables, codes)))
     all_tokens, vocabulary = int(total + n_docs), int(distinct + (n_docs > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: list[tuple] = []
+        # Rows get numbers of their own: what is written below is read as it stands.
+        row = TaskContext.get().partitionId() << 40
         for rows, piece, whole in _parts(batches, codes.value):
-            order = np.argsort(piece.rare_of, kind="stable")
-            found = (piece.words, piece.known, piece.counted, mixed_log10(piece, slots.value, weights.value), piece.n_bytes)
-            open_.append((found, piece.rare_of[order], piece.rare[order]))
+            found = (piece.words, piece.known, piece.counted, mixed_values_log10(piece, values.value, weights.value), piece.n_bytes)
+            open_.append((found, piece.rare_of, piece.rare))
             if not whole:
                 continue
             words, known, counted, logs, n_bytes = (np.sum([p[0][i] for p in open_], 0) for i in range(5))
             rare_of, rare = (np.concatenate([p[i] for p in open_]) for i in (1, 2))
             open_ = []
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare_of, np.arange(rows.num_rows + 1)).astype(np.int32)), pa.array(signed(rare)))
-            values = [pa.array(words + 1), pa.array(known.astype(np.int64)), pa.array(counted), pa.array(logs), pa.array(n_bytes.astype(np.int64)), lists]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), rows.column("_key"), *values], ["doc_id", "held_out", "_key", "n_tokens", "_known", "_logs", "score", "_bytes", "_rare"])
-
-    schema = "doc_id long, held_out boolean, _key long, n_tokens long, _known long, _logs double, score double, _bytes long, _rare array<long>"
-    scored = stored(map_arrow(rows.withColumn("_key", F.xxhash64("doc_id", "text")), run, schema))
+            # Each document's other words, with how often it has them.
+            order = np.lexsort((rare, rare_of))
+            rare_of, rare = rare_of[order], rare[order]
+            new = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (rare_of[1:] != rare_of[:-1])])[: len(rare)])
+            pairs = pa.StructArray.from_arrays([pa.array(signed(rare[new])), pa.array(np.diff(new, append=len(rare)))], ["key", "times"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare_of[new], np.arange(rows.num_rows + 1)).astype(np.int32)), pairs)
+            columns = [pa.array(np.arange(row, row + rows.num_rows)), pa.array(words + 1), pa.array(known.astype(np.int64)), pa.array(counted), pa.array(logs), pa.array(n_bytes.astype(np.int64)), lists]
+            row += rows.num_rows
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), *columns], ["doc_id", "held_out", "_key", "n_tokens", "_known", "_logs", "score", "_bytes", "_rare"])
+
+    schema = "doc_id long, held_out boolean, _key long, n_tokens long, _known long, _logs double, score double, _bytes long, _rare array<struct<key: long, times: long>>"
+    scored = stored(map_arrow(rows, run, schema))
     # Words beyond the broadcast table: their counts by a join.
-    seldom = scored.where(F.size("_rare") > 0).groupBy("_key").agg(F.first("_rare").alias("_rare")).select("_key", F.explode("_rare").alias("key")).groupBy("_key", "key").agg(F.count("*").alias("times"))
-    seldom = seldom.join(words.where(F.col("n") < least).select("key", "n"), "key").groupBy("_key")
+    seldom = scored.select("_key", F.inline("_rare")).join(words.where(F.col("n") < least).select("key", "n"), "key").groupBy("_key")
     seldom = seldom.agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("_more_logs"), F.sum("times").alias("_more_known"))
     out = scored.drop("_rare").join(seldom, "_key", "left")
     logs = F.col("_logs") + F.coalesce("_more_logs", F.lit(0.0)) + float(np.log10(n_docs + 1))

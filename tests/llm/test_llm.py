@@ -444,6 +444,43 @@ def test_every_training_text_teaches_the_weights(spark, monkeypatch):
     assert len(got) == 64 and seen[0] > 0 and seen[0] % 64 == 0 and seen[0] >= 2 * 64
 
 
+def test_half_of_the_training_texts_teach_in_one_pass(spark, monkeypatch):
+    """Words, slots and weights are learned from 64 texts by fewer than three passes over them, then they are scored."""
+    read, apply = [], scoring.map_arrow
+
+    def watched(df, run, schema):
+        if "text" in df.columns:
+            read.append(df.count())
+        return apply(df, run, schema)
+
+    monkeypatch.setattr(scoring, "map_arrow", watched)
+    rows = spark.createDataFrame([(i, "x y") for i in range(64)], "doc_id long, text string")
+    assert scoring.score(rows, F.col("doc_id") < 0).count() == 64
+    assert read[0] == read[-1] == 64 and 64 < sum(read[1:-1]) < 2 * 64
+
+
+def test_decisions_lie_by_depth_and_their_slots_in_fours():
+    """By depth or in order of the text they are the same: the codes of the words; four of a code share 16 slots."""
+    vocab = [f"w{i}" for i in range(60)]
+    texts = [" ".join(vocab[: 60 - i]) for i in range(50)]
+    codes, _ = model(texts)
+    tried = ["w3 w17 W3", "", "w41"]
+    data, offsets = np.frombuffer("".join(tried).encode(), np.uint8), np.cumsum([0, *(len(t) for t in tried)])
+    piece, want, at = scoring.decisions(codes, data, offsets), "", []
+    for t in tried:
+        for w in [*words_of(ascii_lower(t)), None]:
+            code, length = codes.end
+            if w:
+                h = scoring.hash_words(np.frombuffer(w.encode(), np.uint8), np.asarray([0]), np.asarray([len(w)]), lower=True)
+                k = int(np.searchsorted(codes.hashes, h[0]))
+                code, length = int(codes.code[k]), int(codes.length[k])
+            at += [len(want) + d for d in range(0, length, 4) for _ in range(min(4, length - d))]
+            want += f"{code:0{length}b}"
+    assert "".join(map(str, piece.y.tolist())) == want and piece.of[-1] == len(want)
+    assert all(s >> 4 == slots[i] >> 4 for slots in (v.tolist() for v in piece.slots) for s, i in zip(slots, at, strict=True))
+    assert sum(piece.reach) == len(want) and piece.reach == sorted(piece.reach, reverse=True)
+
+
 def test_model_grows_with_the_training_texts():
     """Every word met twice of those given has a code; slots and context words double as the tokens quadruple."""
     sizes = {}
