@@ -211,8 +211,8 @@ class Piece:
         return [self._ordered(s) for s in self.hits]
 
 
-#: Bytes in lower case, and what names a rare word: by its last byte and 256 times the one before.
-_LOWER_BYTE = _LOWER.astype(np.uint8)
+#: What names a rare word: by its last byte and 256 times the one before.
+_MARKS = mix(np.arange(4, dtype=np.uint64) + np.uint64(11))
 _TAILS = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1 << 20))
 
 
@@ -259,7 +259,7 @@ def decisions(c: Codes, data: np.ndarray, offsets: np.ndarray, carry: Carry | No
     frequent = np.zeros(tokens, bool)
     frequent[word_at] = entry & 1 > 0
     name = np.zeros(tokens, np.uint64)
-    low = np.take(_LOWER_BYTE, data) if len(data) else np.zeros(1, np.uint8)
+    low = data + ((data - np.uint8(65) < 26) * np.uint8(32)) if len(data) else np.zeros(1, np.uint8)
     final_byte = low[ends - 1]
     tail = np.take(_TAILS, np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], 0).astype(np.intp) * 256 + final_byte)
     name[word_at] = np.where(entry & 2 > 0, h, tail)
@@ -278,7 +278,7 @@ def decisions(c: Codes, data: np.ndarray, offsets: np.ndarray, carry: Carry | No
     left_over = None
     if not last or carry:
         seen = np.flatnonzero(frequent)
-        before = carry or Carry(np.uint64(0), np.uint64(0), np.uint64(0), np.zeros((3, GATES), np.complex128))
+        before = carry or Carry(np.uint64(0), np.uint64(0), np.uint64(0), np.zeros((3, 2 * GATES)))
         left_over = Carry(whole[seen[-1]] if len(seen) else before.recent, name[-1] if tokens else before.name, mark[-1] if tokens else before.mark, before.sums)
     # Symbols: a token's own, then the bytes of a spelled word and their end.
     spell = np.flatnonzero(~coded)
@@ -291,8 +291,8 @@ def decisions(c: Codes, data: np.ndarray, offsets: np.ndarray, carry: Carry | No
     codes, lengths = np.empty(n, np.int64), np.empty(n, np.int64)
     contexts = [np.empty(n, np.uint32) for _ in range(3)]
     codes[own], lengths[own] = code, length
-    for to, x in zip(contexts, (a, b, p), strict=True):
-        to[own] = mix(x + np.uint64(11)) >> np.uint64(32)
+    for to, x in zip(contexts, (mix(a + np.uint64(11)), mix(b + np.uint64(11)), np.take(_MARKS, p.astype(np.intp))), strict=True):
+        to[own] = x >> np.uint64(32)
     if len(spell):
         total = np.cumsum(count)
         nth = np.arange(total[-1]) - np.repeat(total - count, count)
@@ -301,11 +301,11 @@ def decisions(c: Codes, data: np.ndarray, offsets: np.ndarray, carry: Carry | No
         letter[total - 1] = 256
         place = np.repeat(own[word_at[spell]] + 1, count) + nth
         codes[place], lengths[place] = c.byte_code[letter], c.byte_length[letter]
-        before = []
-        for k in (1, 2, 3, 4):
-            v = np.zeros(len(nth), np.uint64)
-            v[k:] = letter[:-k] + 1
-            v[nth < k] = 0
+        before, v = [], (letter + 1).astype(np.uint64)
+        for _ in range(4):
+            # The letter before, of a word's first none.
+            v = np.concatenate([v[:1], v[:-1]])
+            v[total - count] = 0
             before.append(v)
         two = before[0] + np.uint64(1 << 40) + (before[1] << np.uint64(9))
         three = two + (before[2] << np.uint64(18))
@@ -399,11 +399,10 @@ def mixed_values_log10(piece: Piece, values: list[np.ndarray], weights: np.ndarr
     chunks = -(-np.diff(piece.of) >> CHUNK_SHIFT)
     first = np.concatenate([[0], np.cumsum(chunks)])
     rows = int(first[-1])
-    row = piece.by_depth(((first[:-1] << CHUNK_SHIFT) - piece.of[:-1])[piece.doc] + piece.begin)
-    row >>= CHUNK_SHIFT
-    cell = ((found[0] & 3) << 2) | (found[1] & 3)
-    gate = cell.astype(np.intp)
-    cell = row * GATES
+    cell = piece.by_depth(((first[:-1] << CHUNK_SHIFT) - piece.of[:-1])[piece.doc] + piece.begin)
+    cell >>= CHUNK_SHIFT
+    cell *= GATES
+    gate = (((found[0] & 3) << 2) | (found[1] & 3)).astype(np.intp)
     cell += gate
     x = [v.astype(np.float32) for v in found]
     learned = (weights / STEPS).astype(np.float32)
@@ -424,21 +423,27 @@ def mixed_values_log10(piece: Piece, values: list[np.ndarray], weights: np.ndarr
         np.multiply(p, size[k], out=pair.imag)
         own = np.zeros(rows * GATES, np.complex64)
         np.add.at(own, cell, pair)
-        own = own.reshape(rows, GATES)
-        before = np.cumsum(own, 0, dtype=np.complex128) - own
+        own = own.view(np.float32).reshape(rows, 2 * GATES)
+        before = np.cumsum(own, 0, dtype=np.float64)
+        before -= own
         before -= np.take(before, head, 0)
         if piece.carry is not None:
             before += piece.carry.sums[k]
-            piece.carry.sums[k] += own.sum(0)
-        shift = before.real / (before.imag + DAMPING * STEPS**2)
-        tables.append((shift + weights[:, k] / STEPS).astype(np.float32).reshape(-1))
+            piece.carry.sums[k] += own.sum(0, dtype=np.float64)
+        shift = before[:, ::2] / (before[:, 1::2] + DAMPING * STEPS**2)
+        shift += weights[:, k] / STEPS
+        tables.append(shift.astype(np.float32).reshape(-1))
     z = _weighted(x, tables, cell)
     np.clip(z, -STEEPEST, STEEPEST, out=z)
     z *= np.float32(1) - np.float32(2) * piece.bits
     np.exp(z, out=z)
     z += 1
-    lost = np.concatenate([[0], np.cumsum(np.bincount(row, weights=np.log(z, out=z), minlength=rows))])[first]
-    return (lost[:-1] - lost[1:]) / np.log(10)
+    np.log(z, out=z)
+    lost, lo = np.zeros(len(piece.begin)), 0
+    for m in piece.reach:
+        lost[:m] += z[lo : lo + m]
+        lo += m
+    return -np.bincount(piece.doc, weights=lost, minlength=n) / np.log(10)
 
 
 def _weighted(x: list[np.ndarray], tables: list[np.ndarray], at: np.ndarray) -> np.ndarray:
