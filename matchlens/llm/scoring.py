@@ -11,8 +11,8 @@ binary decision of a code is predicted from hashed contexts:
 A predictor's slot holds how often the decision was 0 and 1 in the training texts.  The
 logits are mixed with weights that a gate (how much two of the slots have seen) selects.
 The weights of every gate are learned from all training texts: each of two halves of them
-meets the slots of the other half, and Newton steps fit the weights to the sums of both by
-gate and cell of logits, which one pass gathers.  Along a document each gate's weights are refined: before every chunk of decisions
+meets the slots of the other half (the second is counted as it does), and Newton steps fit
+the weights to the sums of both by gate and cell of logits.  Along a document each gate's weights are refined: before every chunk of decisions
 they take one more, damped step by all earlier decisions of that document.
 
 Counts, codes and slots are distributed sums over every training text.  What is broadcast
@@ -584,7 +584,7 @@ def slot_cells(slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def _slots(tables: DataFrame, codes) -> list[np.ndarray]:
-    """The packed slots from _slot_counts()."""
+    """The packed slots from the (chunk, seen) of _gathered()."""
     base = np.concatenate([[0], np.cumsum([1 << b for b in codes.value.slot_bits])])
     width = 1 << CHUNK_BITS
 
